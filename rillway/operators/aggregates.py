@@ -42,17 +42,21 @@ def group_by(df: DataFrame, keys: str | Sequence[str], aggs: Sequence[Column]) -
     return df.groupBy(*[named(k) for k in keys]).agg(*aggs)
 
 
-def group_stats(df: DataFrame, key: str, value: str, *, count: str, average: str, total: str) -> DataFrame:
+def group_stats(
+    df: DataFrame, key: str, value: str, *, count: str, average: str, total: str, amount: bool = True
+) -> DataFrame:
     return group_by(
-        df, key, [count_rows(count), avg_of(value, average, amount=True), sum_of(value, total, amount=True)]
+        df, key, [count_rows(count), avg_of(value, average, amount=amount), sum_of(value, total, amount=amount)]
     )
 
 
 def compare_means(df: DataFrame, before: str, after: str) -> DataFrame:
-    """Number of rows, both means, and their difference."""
-    means = df.agg(
-        count_rows("n_rows"),
-        F.avg(named(before)).alias("mean_before"),
-        F.avg(named(after)).alias("mean_after"),
-    )
+    """Number of rows, both means, and their difference.
+
+    Scores are summed in fixed point, so the means are the same in any row order.
+    """
+    def mean(col: str) -> Column:
+        return F.try_divide(F.sum(named(col).cast("decimal(20,10)")).cast("double"), F.count(named(col)))
+
+    means = df.agg(count_rows("n_rows"), mean(before).alias("mean_before"), mean(after).alias("mean_after"))
     return means.withColumn("improvement", F.col("mean_after") - F.col("mean_before"))

@@ -76,7 +76,10 @@ def write_delimited(
     timestamp_format: str = "yyyy-MM-dd HH:mm:ss.SSSSSS",
     partition_by: Sequence[str] = (),
 ) -> None:
-    """Write a folder of delimited part files, one per task; parent folders are made as needed."""
+    """Write a folder of delimited part files, one per task; parent folders are made as needed.
+
+    ``extension`` has three letters.
+    """
     writer = (
         df.write.mode("append" if append else "overwrite")
         .option("sep", sep)

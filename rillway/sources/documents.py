@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from rillway.sources.delimited import write_delimited
 
-_REPLACEMENT = "�"
-_PLACEHOLDER = "﷐"
+_REPLACEMENT = "\ufffd"
+_PLACEHOLDER = "\ufdd0"  # a code point that is never a character
 
 
 def _any_case(extension: str) -> str:
