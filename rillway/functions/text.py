@@ -16,9 +16,11 @@ SPACE_CHARS = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-INLINE_SPACE = r"[\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
-LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+# The same as patterns. (?U) makes \s the Unicode property, in one test per character.
+SPACE = r"(?U:[\s\x1c-\x1f])"
+NOT_SPACE = r"(?U:[^\s\x1c-\x1f])"
+INLINE_SPACE = r"(?U:[\s\x1f&&[^\n]])"
+LINE_END = r"\R|[\x1c-\x1e]"
 
 
 def strip(c: Column) -> Column:

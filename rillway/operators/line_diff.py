@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillway.operators.arrays import rows_of
 from rillway.sources.fields import named
 
 _ROWS = T.ArrayType(
@@ -46,7 +47,5 @@ def line_diff(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     on its own, in Arrow batches. Equal texts, which have no rows, never leave the JVM.
     """
     changed = df.filter(~named(before).eqNullSafe(named(after)))
-    rows = changed.select(named(key), diff_rows(named(before), named(after)).alias("_rows"))
-    return rows.select(named(key), F.posexplode("_rows").alias("pos", "_row")).select(
-        named(key), "pos", F.col("_row.*")
-    )
+    rows = rows_of(changed, key, diff_rows(named(before), named(after)), item="row", position="pos")
+    return rows.select(named(key), "pos", "row.*")

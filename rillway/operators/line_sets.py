@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillway.operators.arrays import rows_of
 from rillway.sources.fields import named
 
 
@@ -25,7 +26,7 @@ def line_multiset_diff(df: DataFrame, key: str, before: Column, after: Column) -
         F.transform(before, lambda x: F.struct(x.alias("line"), F.lit(-1).alias("sign"))),
         F.transform(after, lambda x: F.struct(x.alias("line"), F.lit(1).alias("sign"))),
     )
-    lines = df.filter(~before.eqNullSafe(after)).select(named(key), F.inline(signed))
+    lines = rows_of(df.filter(~before.eqNullSafe(after)), key, signed, item="piece").select(named(key), "piece.*")
     net = lines.groupBy(named(key), "line").agg(F.sum("sign").alias("net")).filter("net <> 0")
     return net.select(
         named(key),

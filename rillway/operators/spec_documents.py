@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillway.functions.text import count_lines, strip
+from rillway.operators.arrays import rows_of
 from rillway.sources.fields import named
 
 SETS = ("columns", "filters", "joins", "calculations", "string_ops")
@@ -95,7 +96,7 @@ def with_facts(docs: DataFrame, xml: str = "xml") -> DataFrame:
 
 def step_inventory(docs: DataFrame, key: str = "file", xml: str = "xml") -> DataFrame:
     """One row per step at any depth; a document that does not parse gives none."""
-    return with_facts(docs, xml).select(named(key), F.inline("_facts.steps"))
+    return rows_of(with_facts(docs, xml), key, F.col("_facts.steps"), item="step").select(named(key), "step.*")
 
 
 def _clean_set(items: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillway.functions.text import SPACE, strip
+from rillway.functions.text import NOT_SPACE, SPACE, strip
+from rillway.operators.arrays import rows_of
 from rillway.sources.fields import named
 
 # Fixed value: tokens per block.
@@ -14,21 +15,23 @@ BLOCK = 128
 
 def tokens_of(text: Column) -> Column:
     """White-space tokens; none for blank text."""
-    clean = strip(text)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, SPACE + "+"))
+    return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
 def token_blocks(df: DataFrame, key: str, text: str, size: int = BLOCK) -> DataFrame:
     """Blocks of ``size`` tokens per document; the last one may be shorter and is flagged.
 
-    Blocks are cut and exploded within the row: no shuffle.
+    One pass of a pattern cuts the text into runs of up to ``size`` tokens, and the runs are exploded
+    within the row: no shuffle, and work that grows with the length of the text only. (Slicing a
+    token array would copy it once per block.)
     """
-    split = df.select(named(key), tokens_of(named(text)).alias("_tokens")).filter(F.size("_tokens") > 0)
-    starts = F.sequence(F.lit(0), F.expr(f"(size(_tokens) - 1) div {size}").cast("int"))
-    cut = F.transform(starts, lambda i: F.slice(F.col("_tokens"), i * size + 1, F.lit(size)))
-    blocks = split.select(named(key), F.posexplode(cut).alias("block", "tokens"))
+    run = f"(?:{NOT_SPACE}++{SPACE}*+){{1,{size}}}"
+    runs = F.regexp_extract_all(named(text), F.lit(run), F.lit(0))
+    blocks = rows_of(df, key, runs, item="_run", position="block")
     n = F.size("tokens")
-    return blocks.select(named(key), "block", "tokens", n.alias("n_tokens"), (n == size).alias("complete"))
+    return blocks.select(named(key), "block", tokens_of(F.col("_run")).alias("tokens")).select(
+        named(key), "block", "tokens", n.alias("n_tokens"), (n == size).alias("complete")
+    )
 
 
 def pad_tokens(tokens: Column, size: int = BLOCK, filler: str = "") -> Column:
