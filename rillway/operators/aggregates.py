@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,17 @@ def group_stats(
     )
 
 
+def attach_groups(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Each row with aggregates of its group.
+
+    Groups are aggregated and joined back. A window would give the same, but with all rows of a
+    group in one task.
+    """
+    groups = df.groupBy(*[named(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*aggs)
+    same = reduce(and_, [named(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(groups, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def compare_means(df: DataFrame, before: str, after: str) -> DataFrame:
     """Number of rows, both means, and their difference.
 

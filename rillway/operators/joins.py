@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillway.functions.text import stem_key
+from rillway.session import scratch_path
 from rillway.sources.fields import named
 
 Pairs = str | Sequence[str | tuple[str, str]]
@@ -59,10 +60,15 @@ def _condition(left: DataFrame, pairs: list[tuple[str, str]], names: dict[str, s
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows: fewer than 1 / share of them, whatever the data."""
+    """Keys that hold more than ``share`` of the rows: fewer than 1 / share of them, whatever the data.
+
+    The list is written once, as both sides of a join read it.
+    """
+    spark = df.sparkSession
     counts = df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
-    return counts.filter(F.col("_n") > F.lit(share * total)).drop("_n")
+    path = scratch_path(spark, "hot-keys")
+    counts.filter(F.col("_n") > F.lit(share * df.count())).drop("_n").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def salted_join(

@@ -14,6 +14,8 @@ from rillway.operators.joins import pair_documents
 from rillway.operators.ordering import latest_per_key
 from rillway.operators.scoring import expected_features, presence_score, route_by_score
 from rillway.operators.spec_documents import SETS, element_sets
+from rillway.session import scratch_path
+from rillway.sources.documents import write_documents
 
 
 def _quoted(text: Column) -> Column:
@@ -85,5 +87,16 @@ def target_name(mode: str) -> Column:
     return F.when(F.col("action") == "corrected", kept).otherwise(F.concat("file", F.lit("_generated")))
 
 
+def save_texts(report: DataFrame, folder: str) -> None:
+    """Write the final texts, one file per document under ``target=<name>``.
+
+    The texts may come from files in this very folder, so they are written aside first.
+    """
+    spark = report.sparkSession
+    aside = scratch_path(spark, "texts")
+    report.select("target", "text_after").write.parquet(aside)
+    write_documents(spark.read.parquet(aside), folder, "target", "text_after")
+
+
 def summarise_quality(report: DataFrame) -> DataFrame:
     return compare_means(report, "accuracy_before", "accuracy_after").withColumnRenamed("n_rows", "documents")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.functions.numbers import calc_round, literal, money, safe_divide, stamp_text, years_since
-from rillway.operators.aggregates import agg_text, count_rows, group_by, group_stats, sum_of
+from rillway.operators.aggregates import agg_text, attach_groups, avg_of, count_rows, group_by, group_stats, sum_of
 from rillway.operators.joins import equi_join, pair_documents, salted_join
 from rillway.operators.ordering import latest_per_key, rank_rows, top_rows
 from rillway.operators.rows import (
@@ -273,6 +273,19 @@ def q_window_group(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("c_custkey", "c_mktsegment", "n_in_group", "rn")
 
 
+@query(
+    """
+    SELECT o_orderkey, o_orderpriority, CAST(count(*) OVER p AS BIGINT) AS n_in_group,
+           CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER p AS DOUBLE) / count(*) OVER p AS group_average
+    FROM orders WINDOW p AS (PARTITION BY o_orderpriority)
+    """
+)
+def q_window_stats(spark: SparkSession, d: str) -> DataFrame:
+    orders = select_fields(table(spark, d, "orders"), ["o_orderkey", "o_orderpriority", "o_totalprice"])
+    stats = [count_rows("n_in_group"), avg_of("o_totalprice", "group_average", amount=True)]
+    return attach_groups(orders, ["o_orderpriority"], stats).drop("o_totalprice")
+
+
 @query(
     """
     SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer

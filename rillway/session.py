@@ -20,6 +20,15 @@ SETTINGS = {
 }
 
 
+def shuffle_settings(shuffled_bytes: int, partition_bytes: int = 256 * 1024 * 1024, cores: int = 8) -> dict[str, str]:
+    """Number of shuffle partitions for the largest shuffle, so that one fits in a task's memory.
+
+    AQE merges small partitions at run time, so a generous number costs little; it cannot make more.
+    """
+    wanted = max(cores, -(-shuffled_bytes // partition_bytes))
+    return {"spark.sql.shuffle.partitions": str(wanted)}
+
+
 def build_session(app: str, master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

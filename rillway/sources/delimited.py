@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.session import scratch_path
-from rillway.sources.fields import Field, named, parse_field, struct_of
+from rillway.sources.fields import Field, file_name, named, parse_field, struct_of
 
 
 def read_delimited(
@@ -56,7 +56,7 @@ def read_delimited(
         return spark.createDataFrame([], struct_of(fields))
     if exclude:
         # A filter on the file name is applied to the file listing, before any file is opened.
-        raw = raw.filter(~F.col("_metadata.file_name").rlike(fnmatch.translate(exclude)))
+        raw = raw.filter(~file_name().rlike(fnmatch.translate(exclude)))
     missing = [f.name for f in fields if f.name not in raw.columns]
     if missing:
         raise ValueError(f"columns {missing} are not in the header {raw.columns}")

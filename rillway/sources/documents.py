@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.sources.delimited import write_delimited
+from rillway.sources.fields import file_name
 
 _REPLACEMENT = "\ufffd"
 _PLACEHOLDER = "\ufdd0"  # a code point that is never a character
@@ -39,7 +40,7 @@ def read_documents(spark: SparkSession, folder: str, extensions: Sequence[str],
         .option("recursiveFileLookup", recursive)
         .load(folder)
     )
-    name = F.col("_metadata.file_name")
+    name = file_name()
     return files.select(
         name.alias("name"),
         F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),

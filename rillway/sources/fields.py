@@ -54,6 +54,12 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def file_name() -> Column:
+    """Name of the file a row comes from; the metadata column holds it in URL form."""
+    encoded = F.col("_metadata.file_name")
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def strings(*names: str, trim: str = "both") -> list[Field]:
     return [Field(n, trim=trim) for n in names]
 
