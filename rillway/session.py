@@ -38,10 +38,10 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written intermediate table, in the folder all executors share.
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for written intermediate tables, where all executors can reach it.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session may run without it.
+    It is below the session's ``spark.checkpoint.dir``. Only a local session may run without that.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -51,4 +51,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if _local_scratch is None:
             _local_scratch = tempfile.TemporaryDirectory(prefix="rillway-")
         root = _local_scratch.name
-    return f"{root.rstrip('/')}/rillway/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/rillway/{spark.conf.get('spark.app.id', 'session')}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path for one intermediate table."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. DataFrames that read them can no longer run."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

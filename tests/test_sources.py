@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rillway.operators.token_text import prompt_dataset
-from rillway.session import scratch_path
+from rillway.session import drop_scratch, scratch_path, scratch_root, shuffle_settings
 from rillway.sources.delimited import (
     output_name, overwrite_source, read_delimited, write_delimited, write_single_file,
 )
@@ -229,6 +229,22 @@ def test_scratch_is_in_the_shared_folder(spark):
         assert first.startswith(root)
 
 
+def test_scratch_is_dropped_on_request(spark):
+    other = spark.newSession()
+    path = scratch_path(other, "y")
+    other.range(3).write.parquet(path)
+    assert path.startswith(scratch_root(spark)) and other.read.parquet(path).count() == 3
+    drop_scratch(other)
+    with pytest.raises(AnalysisException):
+        other.read.parquet(path)
+
+
+def test_shuffle_settings():
+    key = "spark.sql.shuffle.partitions"
+    assert shuffle_settings(0, cores=4)[key] == "4"
+    assert shuffle_settings(10 * 2**40)[key] == "40960"
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     class Conf:
         @staticmethod

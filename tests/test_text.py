@@ -1,8 +1,8 @@
 import difflib
 import random
 import re
+from itertools import accumulate
 
-import pytest
 from pyspark.sql import functions as F
 
 from rillway.functions.text import (
@@ -10,7 +10,7 @@ from rillway.functions.text import (
     string_ops, strip, unescape_markup,
 )
 from rillway.operators.cleaning import NO_CHANGE, PROGRAM_RULES, Rule, apply_rules, rule_notes
-from rillway.operators.code_text import extract_code
+from rillway.operators.code_text import CODE_STARTS, extract_code
 from rillway.operators.line_diff import line_diff
 from rillway.operators.token_text import next_turn, pad_tokens, prompt_dataset, token_blocks, tokens_of
 
@@ -76,22 +76,17 @@ def test_names_pieces_and_tokens(spark):
     assert apply(spark, ["a|b"], piece(F.col("t"), "|", 1)) == [("b",)]
 
 
+# The rules as patterns of the other engine.
+PYTHON_PATTERNS = (re.escape("==="), r"\.with\s*==.*", r"\\\s*#.*", re.escape('.mode("overwrite") \\'))
+
+
 def rules_by_hand(code):
-    """The four rules as stated, with Python's own engine."""
-    fired = []
-    steps = [
-        lambda c: c.replace("===", "=="),
-        lambda c: re.sub(r"\.with\s*==.*", PROGRAM_RULES[1].put, c),
-        lambda c: re.sub(r"\\\s*#.*", r"\\", c),
-        lambda c: c.replace('.mode("overwrite") \\', '.mode("overwrite")\\'),
-    ]
-    text = code
-    for rule, step in zip(PROGRAM_RULES, steps):
-        new = step(text)
-        if new != text:
-            fired.append(rule.name)
-        text = new
-    return text, fired if text != code else fired + [NO_CHANGE]
+    stages = [code]
+    for pattern, rule in zip(PYTHON_PATTERNS, PROGRAM_RULES):
+        put = "\\" if rule.regex and rule.put.startswith("\\") else rule.put
+        stages.append(re.sub(pattern, lambda _: put, stages[-1]))
+    fired = [rule.name for rule, old, new in zip(PROGRAM_RULES, stages, stages[1:]) if old != new]
+    return stages[-1], fired or [NO_CHANGE]
 
 
 def test_rules_against_the_other_regex_engine(spark):
@@ -114,12 +109,14 @@ def test_own_rules_and_notes(spark, rows):
 
 
 def code_by_hand(text):
-    kept, inside = [], False
-    for line in text.splitlines():
-        if line.strip().startswith("```"):
-            inside = not inside
-        elif inside or re.match(r"\s*(from |import |df|spark|withColumn|filter|join|select|col\()", line):
-            kept.append(line)
+    lines = text.splitlines()
+    fences = [line.strip()[:3] == "```" for line in lines]
+    starts = tuple(s.replace("\\", "") for s in CODE_STARTS)
+    kept = [
+        line
+        for line, fence, seen in zip(lines, fences, accumulate(fences))
+        if not fence and (seen % 2 == 1 or line.lstrip().startswith(starts))
+    ]
     return "\n".join(kept).strip()
 
 
@@ -136,13 +133,13 @@ def test_code_extraction_against_brute_force(spark):
 
 
 def diff_by_hand(before, after):
+    """Inserted and deleted lines by edit operations; the hunk lines are left out."""
+    a, b = before.splitlines(), after.splitlines()
     rows = []
-    for line in list(difflib.unified_diff(before.splitlines(), after.splitlines(), lineterm=""))[2:]:
-        rule = {"@": "HUNK", "+": "DIFF_INSERT", "-": "DIFF_DELETE"}.get(line[0])
-        if rule == "HUNK":
-            rows.append((rule, "", line))
-        elif rule:
-            rows.append((rule, "", line[1:]) if rule == "DIFF_INSERT" else (rule, line[1:], ""))
+    for op, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b).get_opcodes():
+        if op != "equal":
+            rows += [("DIFF_DELETE", line, "") for line in a[a0:a1]]
+            rows += [("DIFF_INSERT", "", line) for line in b[b0:b1]]
     return rows
 
 
@@ -153,7 +150,10 @@ def test_line_diff_rows(spark):
     for r in sorted(line_diff(df, "k", "b", "a").collect(), key=lambda r: (r.k, r.pos)):
         got.setdefault(r.k, []).append((r.rule, r.before, r.after))
     want = {i: diff_by_hand(b or "", a or "") for i, (b, a) in enumerate(texts)}
-    assert got == {i: rows for i, rows in want.items() if rows}
+    assert {i: r[1:] for i, r in got.items()} == {i: rows for i, rows in want.items() if rows}
+    assert {i: r[0] for i, r in got.items()} == {
+        0: ("HUNK", "", "@@ -1,3 +1,3 @@"), 2: ("HUNK", "", "@@ -0,0 +1,2 @@"), 3: ("HUNK", "", "@@ -1 +0,0 @@"),
+    }
     assert ("DIFF_INSERT", "", "++x") in got[2]
 
 
