@@ -35,15 +35,20 @@ def equi_join(
     *,
     suffix: str = "_r",
     case_sensitive: bool = True,
+    both_large: bool = False,
 ) -> DataFrame:
     """Join on one or more equalities, given as names or (left, right) pairs.
 
     All columns of both sides stay; a right column whose name is taken gets ``suffix``. Spark picks
-    the strategy by size, and AQE splits the partition of a hot key. ``case_sensitive=False``
-    compares text keys in lower case.
+    the strategy by size, and AQE splits the partition of a hot key. ``both_large`` asks for a merge
+    join, for sides that both grow with the data: the size check sees compressed files, and takes
+    the product of sizes for a joined side, so it may choose to broadcast the wrong one.
+    ``case_sensitive=False`` compares text keys in lower case.
     """
     names = _right_names(left, right, suffix)
     renamed = right.select([named(old).alias(new) for old, new in names.items()])
+    if both_large:
+        renamed = renamed.hint("merge")
     return left.join(renamed, _condition(left, _pairs(on), names, case_sensitive), how)
 
 

@@ -67,20 +67,25 @@ def _facts(xml: str | None) -> dict:
                 )
             case "hop":
                 facts["hops"] += 1
-            case "name":
-                facts["names"].append((node.text or "").strip())
-            case "condition" | "compare":
+            case "name" if (node.text or "").strip():
+                facts["names"].append(node.text.strip())
+            case "condition" | "compare" if _whole(node):
                 facts["conditions"].append(_whole(node))
-            case "MergeJoinMeta":
-                facts["join_types"].append((_child(node, "join_type") or "").strip())
-            case "calculation":
+            case "MergeJoinMeta" if _child(node, "join_type"):
+                facts["join_types"].append(_child(node, "join_type").strip())
+            case "calculation" if _whole(node):
                 facts["calculations"].append(_whole(node))
             case "CalculatorMetaFunction":
                 field, kind = _child(node, "field_name"), _child(node, "calc_type")
                 if field and kind:
                     facts["calculations"].append(f"{field}:{kind}")
-            case "field" if _child(node, "calculation_type"):
-                facts["calculator_fields"].append(f"{_child(node, 'name')}:{_child(node, 'calculation_type')}")
+            case "field":
+                label, kind = _child(node, "name"), _child(node, "calculation_type")
+                if label and label.isspace():
+                    # A blank field name counts as one name, the empty one.
+                    facts["names"].append("")
+                if kind:
+                    facts["calculator_fields"].append(f"{label}:{kind}")
     return facts
 
 
@@ -99,8 +104,8 @@ def step_inventory(docs: DataFrame, key: str = "file", xml: str = "xml") -> Data
     return rows_of(with_facts(docs, xml), key, F.col("_facts.steps"), item="step").select(named(key), "step.*")
 
 
-def _clean_set(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != ""))))
+def _sorted_set(items: Column) -> Column:
+    return F.array_sort(F.array_distinct(items))
 
 
 def element_sets(docs: DataFrame, xml: str = "xml", mode: str = "as_reference") -> DataFrame:
@@ -117,17 +122,19 @@ def element_sets(docs: DataFrame, xml: str = "xml", mode: str = "as_reference")
     is_string = lambda t: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(t, w))
     if mode == "as_reference":
         joins = F.concat(facts["join_types"], F.filter(kinds, is_join))
+        names = facts["names"]
         calculations = facts["calculations"]
         hops = F.size(facts["steps"])
     elif mode == "fixed":
         join_steps = F.filter(facts["steps"], lambda s: is_join(s["type"]))
         joins = F.transform(join_steps, lambda s: F.concat_ws(":", s["name"], s["type"]))
+        names = F.array_remove(facts["names"], "")
         calculations = F.concat(facts["calculations"], facts["calculator_fields"])
         hops = facts["hops"]
     else:
         raise ValueError(f"unknown mode {mode!r}")
     sets = {
-        "columns": facts["names"],
+        "columns": names,
         "filters": facts["conditions"],
         "joins": joins,
         "calculations": calculations,
@@ -135,7 +142,7 @@ def element_sets(docs: DataFrame, xml: str = "xml", mode: str = "as_reference")
     }
     return (
         with_facts(docs, xml)
-        .withColumns({name: _clean_set(items) for name, items in sets.items()})
+        .withColumns({name: _sorted_set(items) for name, items in sets.items()})
         .withColumns({"hops": hops, "lines": count_lines(named(xml)), "parsed": facts["parsed"]})
         .drop("_facts")
     )

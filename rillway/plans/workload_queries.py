@@ -159,7 +159,8 @@ def sold_items(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", F.col("l_partkey").alias("Index"), F.col("l_extendedprice").alias("Price")
     )
-    return lines.join(sold, F.col("l_orderkey") == F.col("o_orderkey")).select("Index", "Price", "Country")
+    placed = equi_join(lines, sold, [("l_orderkey", "o_orderkey")], both_large=True)
+    return placed.select("Index", "Price", "Country")
 
 
 @query(
@@ -199,7 +200,7 @@ def w_high_value_leads(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     placed = equi_join(orders, customer, [("o_custkey", "c_custkey")])
-    leads = equi_join(lines, placed, [("l_orderkey", "o_orderkey")]).select(
+    leads = equi_join(lines, placed, [("l_orderkey", "o_orderkey")], both_large=True).select(
         F.col("l_suppkey").alias("First Name"),
         F.col("c_nationkey").alias("Last Name"),
         F.col("c_nationkey").alias("Company"),
@@ -280,7 +281,7 @@ def order_site_rows(spark: SparkSession, d: str) -> DataFrame:
     )
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     placed = equi_join(orders, customer, [("o_custkey", "c_custkey")])
-    joined = equi_join(equi_join(lines, placed, [("l_orderkey", "o_orderkey")]), supplier, [("l_suppkey", "s_suppkey")])
+    joined = equi_join(equi_join(lines, placed, [("l_orderkey", "o_orderkey")], both_large=True), supplier, [("l_suppkey", "s_suppkey")])
     return joined.select(
         F.col("o_orderkey").alias("order_number"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered_date"),

@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Hot join keys: AQE splits a shuffle partition that is much larger than the median.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # ... also where the split costs the grouping after the join a further shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Documents go to Python in batches: few, as one may be large.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
 

@@ -31,7 +31,9 @@ JOIN_SPEC = """<?xml version="1.0"?>
 """
 JOB = "<job><entries><entry name='a'><condition>STATUS = 'ACTIVE'</condition></entry></entries></job>"
 BROKEN = "<transformation><step><name>x</name></step>"
-ODD_STEPS = "<t><group><step/></group><step><name/><type>X</type></step><name>n</name><name>n</name><name> </name></t>"
+ODD_STEPS = "<t><group><step/></group><step><name/><type>X</type></step><name>n</name><name>n</name><name> </name>"
+ODD_STEPS += "<field><name> </name></field><MergeJoinMeta><join_type>LEFT</join_type></MergeJoinMeta>"
+ODD_STEPS += "<CalculatorMetaFunction><field_name>f</field_name><calc_type>ADD</calc_type></CalculatorMetaFunction></t>"
 
 
 @pytest.fixture
@@ -65,7 +67,9 @@ def test_element_sets_as_reference(docs):
     assert spec.string_ops == ["StringTrim"]
     assert (spec.hops, spec.lines, spec.parsed) == (7, len(JOIN_SPEC.splitlines()), True)
     assert (got["job"].filters, got["job"].columns, got["job"].lines) == (["STATUS = 'ACTIVE'"], [], 1)
-    assert got["odd"].columns == ["n"]
+    assert got["odd"].columns == ["", "n"]
+    assert (got["odd"].joins, got["odd"].calculations) == (["LEFT"], ["f:ADD"])
+    assert by_file(element_sets(docs, mode="fixed"))["odd"].columns == ["n"]
     for name in ("broken", "none", "empty"):
         assert not got[name].parsed and all(got[name][s] == [] for s in SETS)
 
