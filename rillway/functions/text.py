@@ -24,7 +24,7 @@ LINE_END = r"\R|[\x1c-\x1e]"
 
 
 def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(SPACE_CHARS))
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def unify_line_ends(c: Column) -> Column:

@@ -12,6 +12,8 @@ from rillway.sources.fields import named
 
 # monotonically_increasing_id keeps the row position within a partition in its lower 33 bits.
 _POSITION_MASK = (1 << 33) - 1
+# Up to so many rows may meet in one task or the driver.
+_SMALL_LIMIT = 100_000
 
 SortKey = str | tuple[str, str] | Column
 
@@ -53,24 +55,25 @@ def rank_rows(
 
     A window over the whole table, or over a hot group, would send all of its rows to one task.
     Here the rows are range-partitioned on groups and keys, so that a large group is spread over
-    many partitions, and written once: range bounds come from a sample and must not be drawn anew
-    between the two reads. A row's number is then its position in its partition, plus the size of
-    the group in the partitions before, taken from one summary row per group and partition.
-    ``count_out`` also adds the size of the group.
+    many partitions, and numbered by partition. ``count_out`` also adds the size of the group.
     """
-    spark = df.sparkSession
     order = [named(c).asc() for c in within] + sort_keys(df, keys, case_sensitive)
-    path = scratch_path(spark, "ranked")
-    (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
-        .write.parquet(path)
-    )
-    placed = spark.read.parquet(path)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _numbered(placed, within, out, count_out)
+
+
+def _numbered(df: DataFrame, within: Sequence[str], out: str, count_out: str | None = None) -> DataFrame:
+    """Number rows as they lie, partition after partition; groups must lie together.
+
+    The rows are written once with their partition and position: range bounds come from a sample
+    and must not be drawn anew between the two reads. A row's number is its position, plus the size
+    of the group in the partitions before, taken from one summary row per group and partition.
+    """
+    path = scratch_path(df.sparkSession, "numbered")
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))
+    df.withColumn("_part", F.spark_partition_id()).withColumn("_pos", position).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
     group = [named(c) for c in within]
-    # At most one row per partition and group.
     pieces = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = [F.sum("_n").over(Window.partitionBy(*group)).alias("_total")] if count_out else []
@@ -91,9 +94,24 @@ def rank_rows(
     return joined.select(*[named(c) for c in df.columns], *added)
 
 
+def take_rows(df: DataFrame, limit: int = 0) -> DataFrame:
+    """At most ``limit`` rows; 0 means all. A large limit does not pass through one task."""
+    if not limit:
+        return df
+    if limit <= _SMALL_LIMIT:
+        return df.limit(limit)
+    return _numbered(df, (), "_rn").filter(F.col("_rn") <= limit).drop("_rn")
+
+
 def top_rows(df: DataFrame, keys: Sequence[SortKey], n: int, case_sensitive: bool = True) -> DataFrame:
-    """The first ``n`` rows in order: each task keeps n rows, which are then merged."""
-    return sort_rows(df, keys, case_sensitive).limit(n)
+    """The first ``n`` rows in order: each task keeps n rows, which are then merged.
+
+    A large ``n`` is cut by rank instead; then ``keys`` should end in a unique one.
+    """
+    if n <= _SMALL_LIMIT:
+        return sort_rows(df, keys, case_sensitive).limit(n)
+    ranked = rank_rows(df, keys, case_sensitive=case_sensitive, out="_rn")
+    return ranked.filter(F.col("_rn") <= n).orderBy("_rn").drop("_rn")
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:

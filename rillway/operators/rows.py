@@ -65,8 +65,3 @@ def passes(condition: Column) -> Column:
 def split_rows(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that meet a condition, and all other rows. Unknown goes to the second part."""
     return df.filter(condition), df.filter(~passes(condition))
-
-
-def take_rows(df: DataFrame, limit: int = 0) -> DataFrame:
-    """At most ``limit`` rows; 0 means all."""
-    return df.limit(limit) if limit else df

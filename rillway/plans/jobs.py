@@ -256,7 +256,7 @@ ORDER_SITE_TABLES = (
 )
 
 
-def run_order_sites(spark: SparkSession, url: str | None = None, table: str = "test44", min_value: int = 5000) -> DataFrame:
+def run_order_sites(spark: SparkSession, url: str | None = None, table: str = "order_sites", min_value: int = 5000) -> DataFrame:
     """Order sites from catalog tables; appended to a JDBC table when ``url`` is given."""
     tables = {name: read_table(spark, name) for name in ORDER_SITE_TABLES}
     result = order_sites(order_headers_with_sites(tables), min_value)

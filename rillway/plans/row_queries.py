@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from rillway.functions.numbers import calc_round, literal, money, safe_divide, stamp_text, years_since
 from rillway.operators.aggregates import agg_text, attach_groups, avg_of, count_rows, group_by, group_stats, sum_of
 from rillway.operators.joins import equi_join, pair_documents, salted_join
-from rillway.operators.ordering import latest_per_key, rank_rows, top_rows
+from rillway.operators.ordering import latest_per_key, rank_rows, take_rows, top_rows
 from rillway.operators.rows import (
-    above, all_of, any_of, equals, negate, passes, select_fields, split_rows, take_rows, where,
+    above, all_of, any_of, equals, negate, passes, select_fields, split_rows, where,
 )
 from rillway.plans.registry import query, table
 from rillway.plans.workload_queries import SITE_COLUMNS, SITES_SQL, order_site_rows

@@ -9,9 +9,9 @@ from rillway.operators.aggregates import (
 )
 from rillway.operators.joins import equi_join, hot_keys, pair_by_stem, pair_documents, salted_join
 from rillway.operators.line_sets import line_multiset_diff, union_rows
-from rillway.operators.ordering import latest_per_key, rank_rows, sort_rows, top_rows
+from rillway.operators.ordering import latest_per_key, rank_rows, sort_rows, take_rows, top_rows
 from rillway.operators.rows import (
-    above, all_of, any_of, equals, inline_rows, negate, passes, select_fields, split_rows, take_rows, where,
+    above, all_of, any_of, equals, inline_rows, negate, passes, select_fields, split_rows, where,
 )
 
 
@@ -53,6 +53,16 @@ def test_limit_zero_means_all(people):
     assert take_rows(people, 3).count() == 3
 
 
+def test_large_limits_stay_distributed(spark):
+    df = spark.range(0, 300_000, 1, 6)
+    taken = take_rows(df, 150_001)
+    assert taken.count() == 150_001 and taken.distinct().count() == 150_001
+    assert "SinglePartition" not in taken._jdf.queryExecution().optimizedPlan().toString()
+    top = top_rows(df, [("id", "desc")], 120_000)
+    assert top.agg(F.min("id"), F.max("id"), F.count("id")).first()[:] == (180_000, 299_999, 120_000)
+    assert top.columns == ["id"] and top.first().id == 299_999
+
+
 def test_inline_rows_and_literals(spark):
     assert inline_rows(spark, [("a", 1)], "k STRING, v INT").first().v == 1
     row = spark.range(1).select(
@@ -89,10 +99,10 @@ def test_join_letter_case(spark):
 
 
 def test_pairing_flags_unmatched_rows(spark, rows):
-    left = spark.createDataFrame([("HIGH-1", "x"), ("b", "y")], "stem STRING, xml STRING")
-    right = spark.createDataFrame([("High_1_converted", "code")], "stem STRING, code STRING")
+    left = spark.createDataFrame([("Report-1", "x"), ("b", "y")], "stem STRING, xml STRING")
+    right = spark.createDataFrame([("REPORT_1_converted", "code")], "stem STRING, code STRING")
     paired = pair_by_stem(left, right).select("stem", "code", "had_existing")
-    assert rows(paired) == [("b", None, False), ("high_1", "code", True)]
+    assert rows(paired) == [("b", None, False), ("report_1", "code", True)]
     assert pair_documents(left, right, "stem").filter("had_existing").count() == 0
 
 

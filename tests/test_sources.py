@@ -134,11 +134,11 @@ def test_output_names():
 
 
 def test_documents_by_extension_in_any_case(spark, tmp_path, rows):
-    put(tmp_path / "d/A b+c%20.ktr", "one\ntwo\n")
-    put(tmp_path / "d/c.KJB", "three")
+    put(tmp_path / "d/A b+c%20.job", "one\ntwo\n")
+    put(tmp_path / "d/c.FLOW", "three")
     put(tmp_path / "d/e.py", "no")
-    got = rows(read_documents(spark, str(tmp_path / "d"), [".ktr", "kjb"]))
-    assert got == [("A b+c%20.ktr", "A b+c%20", "ktr", "one\ntwo\n"), ("c.KJB", "c", "kjb", "three")]
+    got = rows(read_documents(spark, str(tmp_path / "d"), [".job", "flow"]))
+    assert got == [("A b+c%20.job", "A b+c%20", "job", "one\ntwo\n"), ("c.FLOW", "c", "flow", "three")]
 
 
 @pytest.mark.parametrize(
