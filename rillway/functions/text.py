@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillway.functions.binding import let
 from rillway.sources.fields import named
 
 # Characters that count as white space and as line ends in Unicode text processing.
@@ -33,12 +34,16 @@ def unify_line_ends(c: Column) -> Column:
 
 def lines_of(c: Column) -> Column:
     """The lines of a text as an array; a final line end opens no further line."""
-    parts = F.split(c, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def without_last_blank(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return let(F.split(c, LINE_END), without_last_blank)
 
 
 def count_lines(c: Column) -> Column:
-    return F.size(lines_of(c))
+    parts = F.split(c, LINE_END)
+    return F.size(parts) - (F.element_at(parts, -1) == "").cast("int")
 
 
 def pad(c: Column, side: str, char: str, length: int) -> Column:

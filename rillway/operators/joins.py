@@ -23,8 +23,16 @@ def _pairs(on: Pairs) -> list[tuple[str, str]]:
 
 
 def _right_names(left: DataFrame, right: DataFrame, suffix: str) -> dict[str, str]:
+    """New names of the right columns; a taken name gets the suffix, again until it is free."""
     taken = {c.lower() for c in left.columns}
-    return {c: c + suffix if c.lower() in taken else c for c in right.columns}
+    names = {}
+    for old in right.columns:
+        new = old
+        while new.lower() in taken:
+            new += suffix
+        taken.add(new.lower())
+        names[old] = new
+    return names
 
 
 def equi_join(

@@ -173,9 +173,8 @@ _TAGS = "regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)"
 )
 def q_tag_sets(spark: SparkSession, d: str) -> DataFrame:
     tags = F.array_sort(F.array_distinct(tag_names(F.col("html"))))
-    return table(spark, d, "pages").select(
-        "page_id", F.array_join(tags, " ").alias("tags"), F.size(tags).cast("long").alias("n_tags")
-    )
+    pages = table(spark, d, "pages").select("page_id", tags.alias("tags"))
+    return pages.select("page_id", F.array_join("tags", " ").alias("tags"), F.size("tags").cast("long").alias("n_tags"))
 
 
 @query(

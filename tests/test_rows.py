@@ -91,6 +91,14 @@ def test_join_keeps_both_sides_and_renames(spark):
     assert equi_join(left, left, "id").columns == ["id", "name", "id_r", "name_r"]
 
 
+def test_chained_joins_keep_names_apart(spark):
+    one = spark.createDataFrame([(1, "a")], "k INT, v STRING")
+    twice = equi_join(one, one, "k")
+    thrice = equi_join(twice, one.withColumn("v_r", F.lit(0)), [("k_r", "k")])
+    assert thrice.columns == ["k", "v", "k_r", "v_r", "k_r_r", "v_r_r", "v_r_r_r"]
+    assert thrice.first()[:] == (1, "a", 1, "a", 1, "a", 0)
+
+
 def test_join_letter_case(spark):
     left = spark.createDataFrame([("Acme",)], "Company STRING")
     right = spark.createDataFrame([("ACME",)], "Name STRING")
