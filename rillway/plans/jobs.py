@@ -21,7 +21,7 @@ from rillway.operators.rows import above, all_of, equals, select_fields, where
 from rillway.plans import layouts
 from rillway.sources.delimited import read_delimited, write_delimited
 from rillway.sources.fields import Field, named
-from rillway.sources.tables import read_table, write_table
+from rillway.sources.tables import read_query, read_table, write_table
 
 
 def copy_rows(rows: DataFrame) -> DataFrame:
@@ -265,6 +265,15 @@ def run_order_sites(spark: SparkSession, url: str | None = None, table: str = "o
     return result
 
 
+def run_order_sites_query(
+    spark: SparkSession, url: str, query: str, table: str, *, min_value: int = 5000, **options
+) -> DataFrame:
+    """The same from a SQL query that the database runs; ``options`` as of ``read_query``."""
+    result = order_sites(read_query(spark, url, query, **options), min_value)
+    write_table(result, url, table, properties=options.get("properties"))
+    return result
+
+
 def run_active_suppliers(spark: SparkSession, output_csv: str = "output/orders.csv") -> DataFrame:
     result = active_suppliers(read_table(spark, "PO_SUPPLIERS", ["SUPPLIER_ID", "NAME", "STATUS"]))
     write_delimited(result, output_csv)

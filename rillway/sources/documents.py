@@ -50,8 +50,9 @@ def read_documents(spark: SparkSession, folder: str, extensions: Sequence[str],
 
 
 def write_documents(df: DataFrame, folder: str, name_col: str, text_col: str, mode: str = "overwrite") -> None:
-    """One text file per row, in a sub-folder ``name_col=<value>``."""
-    df.select(name_col, F.col(text_col).alias("value")).write.mode(mode).partitionBy(name_col).text(folder)
+    """One text file per row, in a sub-folder ``name_col=<value>``. A file ends with one line end."""
+    text = F.regexp_replace(text_col, r"\n\z", "")
+    df.select(name_col, text.alias("value")).write.mode(mode).partitionBy(name_col).text(folder)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

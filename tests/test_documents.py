@@ -1,13 +1,16 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from rillway.operators.cleaning import NO_CHANGE
 from rillway.operators.quality import (
     fallback_text, pair_programs, quality_report, save_texts, summarise_quality,
 )
 from rillway.operators.scoring import expected_features, presence_score, route_by_score
 from rillway.operators.spec_documents import SETS, complexity, element_sets, step_inventory
+from rillway.plans.reports import folder_steps, run_complexity_report, run_quality_report
 
 JOIN_SPEC = """<?xml version="1.0"?>
 <transformation>
@@ -197,3 +200,27 @@ def test_report(spark, specs, programs, tmp_path):
     ]
     with pytest.raises(ValueError):
         quality_report(specs, programs, mode="other")
+
+
+def test_reports_over_folders(spark, tmp_path, rows):
+    specs, programs, out = tmp_path / "specs", tmp_path / "programs", tmp_path / "out"
+    specs.mkdir(), programs.mkdir()
+    (specs / "Big Job 1.xml").write_text(JOIN_SPEC)
+    (specs / "small.JOB").write_text(JOB)
+    (specs / "notes.txt").write_text("no")
+    (programs / "big_job_1_converted.py").write_text("df.join(a === b).select(c)\n")
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    kinds = ["xml", "job"]
+    assert folder_steps(spark, str(specs), kinds).groupBy("file").count().collect() == [("Big Job 1", 7)]
+    sizes = run_complexity_report(spark, str(specs), str(out), kinds, at)
+    assert rows(sizes.select("file", "total_score", "complexity_level")) == [("big_job_1", 24, "Medium"), ("small", 2, "Low")]
+    report, means = run_quality_report(spark, str(specs), str(programs), str(out), kinds, at)
+    got = {r.file: (r.action, r.rules, r.accuracy_before, r.accuracy_after) for r in report.collect()}
+    assert got == {
+        "big_job_1": ("corrected", ["Replace ==="], 40.0, 40.0), "small": ("generated", [NO_CHANGE], 0.0, 0.0)
+    }
+    assert means.first()[:] == (2, 20.0, 20.0, 0.0)
+    written = {p.name: next(p.glob("part-*")).read_text() for p in (out / "texts").glob("target=*")}
+    assert written["target=big_job_1_corrected"] == "df.join(a == b).select(c)\n"
+    assert written["target=small_generated"].startswith("# Could not generate")
+    assert spark.read.option("header", True).csv(str(out / "correction_report_20240506_070809")).count() == 2

@@ -99,7 +99,7 @@ def test_joining_jobs(spark, files, rows):
     assert rows(written) == [("a@x", "PT")]
 
 
-def test_order_sites(spark, rows):
+def test_order_sites(spark, rows, monkeypatch):
     def frame(columns, *data):
         return spark.createDataFrame(list(data), columns)
 
@@ -127,6 +127,12 @@ def test_order_sites(spark, rows):
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     assert rows(jobs.run_order_sites(spark)) == rows(result)
+    calls = []
+    monkeypatch.setattr(jobs, "read_query", lambda *args, **kwargs: calls.append((args[1:], kwargs)) or source)
+    monkeypatch.setattr(jobs, "write_table", lambda df, *args, **kwargs: calls.append((args, kwargs)))
+    over = jobs.run_order_sites_query(spark, "jdbc:x", "SELECT 1", "sites", properties={"user": "u"})
+    assert rows(over) == rows(result)
+    assert calls == [(("jdbc:x", "SELECT 1"), {"properties": {"user": "u"}}), (("jdbc:x", "sites"), {"properties": {"user": "u"}})]
 
 
 def test_table_jobs(spark, rows, tmp_path):

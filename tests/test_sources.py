@@ -151,7 +151,7 @@ def test_undecodable_bytes_are_dropped(spark, raw):
 
 
 def test_one_file_per_document(spark, tmp_path, rows):
-    df = spark.createDataFrame([("a", "x\ny"), ("b", "z")], "name STRING, text STRING")
+    df = spark.createDataFrame([("a", "x\ny\n"), ("b", "z")], "name STRING, text STRING")
     write_documents(df, str(tmp_path / "docs"), "name", "text")
     back = read_documents(spark, str(tmp_path / "docs"), ["txt"], recursive=True)
     assert sorted(r.text for r in back.collect()) == ["x\ny\n", "z\n"]
