@@ -13,7 +13,7 @@ import sys
 import time
 
 from rillway.plans.catalogue import QUERIES
-from rillway.session import build_session
+from rillway.session import build_session, drop_scratch
 
 RUNS = 3
 HEADLINE = [name for name in QUERIES if name.startswith("w_")] + [
@@ -54,6 +54,7 @@ def main() -> None:
     for name in names:
         run(spark, name, sf_dir)
         times[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(RUNS)), 3)
+    drop_scratch(spark)
     print(
         json.dumps(
             {

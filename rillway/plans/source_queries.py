@@ -52,8 +52,9 @@ def q_field_trim(spark: SparkSession, d: str) -> DataFrame:
     SELECT c_custkey,
            CAST(c_custkey * 1000 + 234 AS BIGINT) AS grouped_long,
            CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_acctbal AS DOUBLE) END AS amount,
-           CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE DATE '2020-01-01' + CAST(c_custkey AS INTEGER) END AS a_day,
-           CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS flag
+           CASE WHEN c_custkey % 5 = 0 THEN NULL
+                ELSE strftime(DATE '2020-01-01' + CAST(c_custkey AS INTEGER), '%Y-%m-%d') END AS a_day,
+           CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE NULL END AS flag
     FROM customer
     """
 )
@@ -69,8 +70,8 @@ def q_parse_masks(spark: SparkSession, d: str) -> DataFrame:
         "c_custkey",
         parse_field(Field("grouped_long", "long", group=","), thousands).alias("grouped_long"),
         parse_field(Field("amount", "double", group=","), amount).alias("amount"),
-        parse_field(Field("a_day", "date", fmt="yyyy-MM-dd"), day_text).alias("a_day"),
-        parse_field(Field("flag", "boolean"), flag).alias("flag"),
+        F.date_format(parse_field(Field("a_day", "date", fmt="yyyy-MM-dd"), day_text), "yyyy-MM-dd").alias("a_day"),
+        parse_field(Field("flag", "boolean"), flag).cast("string").alias("flag"),
     )
 
 

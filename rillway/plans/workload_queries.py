@@ -39,7 +39,7 @@ def w_copy_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate,"
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,"
     " o_orderpriority FROM orders"
 )
 def w_copy_leads(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,8 @@ def w_copy_leads(spark: SparkSession, d: str) -> DataFrame:
         Field("o_totalprice", "double"), Field("o_orderdate", "date", fmt=_STAMP),
         Field("o_orderpriority", trim="both"),
     ]
-    return _through_files(table(spark, d, "orders"), fields)
+    copied = _through_files(table(spark, d, "orders"), fields)
+    return copied.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @query(

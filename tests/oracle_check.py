@@ -57,12 +57,20 @@ def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> list[str]:
 
 def main() -> int:
     from rillway.plans.catalogue import ORACLES, QUERIES
-    from rillway.session import build_session
+    from rillway.session import build_session, drop_scratch
 
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     names = args[1:] or sorted(QUERIES)
-    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session(
+        "oracle-check",
+        "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        },
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0
@@ -76,6 +84,7 @@ def main() -> int:
             problems = [f"{type(error).__name__}: {str(error)[:700]}"]
         failed += bool(problems)
         print(f"{'FAIL' if problems else 'ok  '} {name} {time.time() - start:.1f}s {'; '.join(problems)}", flush=True)
+    drop_scratch(spark)
     print(f"{len(names)} queries, {failed} with problems")
     return failed
 
