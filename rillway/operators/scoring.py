@@ -45,7 +45,9 @@ def share_of(hits: Column, total: Column) -> Column:
     )
 
 
-def presence_score(before: Column, after: Column, expected: dict[str, Column], features=FEATURES) -> tuple[Column, Column]:
+def presence_score(
+    before: Column, after: Column, expected: dict[str, Column], features: tuple[Feature, ...] = FEATURES
+) -> tuple[Column, Column]:
     """Percentage of the expected features that each text has.
 
     ``expected`` gives a boolean per feature. Output is expected as soon as either text mentions it.
@@ -62,9 +64,9 @@ def presence_score(before: Column, after: Column, expected: dict[str, Column], f
     return score(before), score(after)
 
 
-def expected_features(sets_present: tuple[str, ...] = ("joins", "filters", "columns", "string_ops", "calculations")) -> dict[str, Column]:
+def expected_features() -> dict[str, Column]:
     """A feature is expected where the element set of that name is not empty."""
-    return {s: F.size(F.col(s)) > 0 for s in sets_present}
+    return {f.name: F.size(F.col(f.name)) > 0 for f in FEATURES}
 
 
 def route_by_score(df: DataFrame, score: str, had_existing: str, below: float = REGENERATE_BELOW) -> DataFrame:

@@ -183,7 +183,7 @@ def q_join_self_alias(spark: SparkSession, d: str) -> DataFrame:
     """
 )
 def q_join_salted(spark: SparkSession, d: str) -> DataFrame:
-    """A join on a key with three hot values, split by salt."""
+    """Orders with more than a thousandth of the lines, if there are any, are split by salt."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_suppkey")
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     joined = salted_join(lines, orders, [("l_orderkey", "o_orderkey")], share=0.001, copies=8)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillway.operators.aggregates import count_rows, group_by
 from rillway.operators.joins import equi_join
 from rillway.operators.line_sets import union_rows
-from rillway.operators.rows import inline_rows
+from rillway.operators.rows import inline_rows, select_fields
 from rillway.operators.token_text import next_turn, prompt_dataset
 from rillway.plans.registry import query, table
 from rillway.session import scratch_path
@@ -154,14 +154,11 @@ def q_doc_union(spark: SparkSession, d: str) -> DataFrame:
     """Files of two extensions in one folder, scanned apart and put together."""
     folder = scratch_path(spark, "two-kinds")
     _write_packed(table(spark, d, "pages"), folder)
-    table(spark, d, "documents").select("doc_id", "text").write.mode("append").option(
-        "maxRecordsPerFile", 500
-    ).json(folder)
+    documents = select_fields(table(spark, d, "documents"), {"doc_id": "page_id", "text": "html"})
+    documents.write.mode("append").option("maxRecordsPerFile", 500).json(folder)
     pages = _unpack(read_documents(spark, folder, ["txt"]))
     rows = read_documents(spark, folder, ["JSON"]).select(F.explode(F.split("text", "\n")).alias("record"))
-    parsed = rows.filter("record <> ''").select(
-        F.inline(F.array(F.from_json("record", "doc_id BIGINT, text STRING"))).alias("page_id", "html")
-    )
+    parsed = rows.filter("record <> ''").select(F.from_json("record", "page_id BIGINT, html STRING").alias("r")).select("r.*")
     length = F.char_length("html").cast("long").alias("n_chars")
     name = F.col("page_id").cast("string").alias("name")
     return union_rows(

@@ -234,7 +234,7 @@ def q_line_except(spark: SparkSession, d: str) -> DataFrame:
     return line_multiset_diff(_page_versions(spark, d), "page_id", pieces["before"], pieces["after"])
 
 
-@query(_NET_SQL.replace("SELECT page_id, CASE", "SELECT page_id, CASE", 1))
+@query(_NET_SQL)
 def q_line_diff(spark: SparkSession, d: str) -> DataFrame:
     """Ordered diff; its inserts less its deletes are the same multiset difference."""
     rows = line_diff(_page_versions(spark, d), "page_id", "before", "after").filter("rule <> 'HUNK'")

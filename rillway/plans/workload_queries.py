@@ -282,7 +282,8 @@ def order_site_rows(spark: SparkSession, d: str) -> DataFrame:
     )
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     placed = equi_join(orders, customer, [("o_custkey", "c_custkey")])
-    joined = equi_join(equi_join(lines, placed, [("l_orderkey", "o_orderkey")], both_large=True), supplier, [("l_suppkey", "s_suppkey")])
+    sold = equi_join(lines, placed, [("l_orderkey", "o_orderkey")], both_large=True)
+    joined = equi_join(sold, supplier, [("l_suppkey", "s_suppkey")])
     return joined.select(
         F.col("o_orderkey").alias("order_number"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered_date"),

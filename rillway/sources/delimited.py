@@ -8,7 +8,6 @@ from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rillway.session import scratch_path
 from rillway.sources.fields import Field, file_name, named, parse_field, struct_of
