@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillway.llm.word_arrays import Rolling, mix, split_words
+from rillway.llm.word_arrays import Rolling, split_words
 from rillway.sources.fields import named
 
 WINDOW = 50
@@ -106,12 +106,21 @@ def removed_words(n_words: int, starts: list[int] | None, copy: bool) -> np.ndar
     return np.cumsum(delta[:-1]) > 0
 
 
-def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, copy, starts) per row: what of each text stands in a text with a smaller id.
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
+    return rows.filter("id IS NOT NULL AND text IS NOT NULL").withColumn("k1", _text_key(F.col("text")))
+
 
-    ``starts`` holds the first words of the windows of 50 words that also begin in a document with a
-    smaller id; null where there are none. ``copy`` says that the whole text has an equal one with a
-    smaller id, in which case the windows are not listed. ``kept_words`` and ``cut_text`` apply this.
+def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, k1, copy, starts): what of each text stands in a text with a smaller id, where there is any.
+
+    k1 is the hash of the text. ``starts`` holds the first words of the windows of 50 words that also
+    begin in a document with a smaller id. ``copy`` says that the whole text has an equal one with a
+    smaller id, in which case the windows are not listed.
 
     1. The hash of 20 words is taken at places 1, 5, 11, 24, 25, 27 modulo 31 of each text, a fifth
        of all places. Two equal windows, wherever they begin, have such an anchor in common.
@@ -120,20 +129,16 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3. Around shared anchors, and only there, each window gets a 128-bit hash; the smallest id per
        hash is an aggregate, reduced in each task before the shuffle.
 
-    Texts are shuffled once, by id. A null id: nothing is removed and the row is no source. Rows that
-    repeat an id are no sources for each other. Null, blank and short texts (under 50 words) stay as
-    they are. An empty table gives no rows. Other columns are neither read nor returned.
+    A null id: nothing is removed and the row is no source. Rows that repeat an id are no sources for
+    each other. Null, blank and short texts (under 50 words) stay as they are. An empty table gives
+    no rows. Other columns are neither read nor returned.
     """
-    all_rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
-    base = all_rows.filter("id IS NOT NULL AND text IS NOT NULL").select(
-        "id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")
-    )
-    texts = base.select("id", "text", "k1")
-    first = base.groupBy("k1", "k2").agg(F.min("id").alias("first_id"))
-    narrow = base.select("id", "k1", "k2")
+    texts = _with_keys(docs, id_col, text_col)
+    narrow = texts.select("id", "k1", F.xxhash64(F.lit(1), "text").alias("k2"))
+    first = narrow.groupBy("k1", "k2").agg(F.min("id").alias("first_id"))
     copies = narrow.join(first, ["k1", "k2"]).filter("first_id < id").select("id", "k1").distinct()
 
-    anchors = base.select("k1", "text").mapInArrow(_anchors, "h long, k1 long, place int")
+    anchors = texts.select("k1", "text").mapInArrow(_anchors, "h long, k1 long, place int")
     ordered = anchors.repartitionByRange("h", "k1", "place").sortWithinPartitions("h", "k1")
     shared = ordered.mapInArrow(_shared, "k1 long, place int").distinct()
     places = shared.groupBy("k1").agg(F.collect_list("place").alias("places"))
@@ -145,11 +150,39 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lowest = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     hits = windows.join(lowest, ["h1", "h2"]).filter("low < id").select("id", "k1", "place")
     starts = hits.groupBy("id", "k1").agg(F.sort_array(F.collect_set("place")).alias("starts"), F.lit(False).alias("copy"))
-    nothing = F.lit(None).cast("array<int>")
-    marks = starts.unionByName(copies.select("id", "k1", nothing.alias("starts"), F.lit(True).alias("copy")))
-    marked = texts.join(marks, ["id", "k1"], "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
-    rest = all_rows.filter("id IS NULL OR text IS NULL").select("id", "text", F.lit(False).alias("copy"), nothing.alias("starts"))
-    return marked.unionByName(rest)
+    return starts.select("id", "k1", "copy", "starts").unionByName(
+        copies.select("id", "k1", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    )
+
+
+def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, copy, starts) for every row, from ``repeat_marks``; ``kept_words`` applies them.
+
+    Texts are shuffled once, by id, for both the windows and the result.
+    """
+    texts = _with_keys(docs, id_col, text_col)
+    marked = texts.join(repeat_marks(docs, id_col, text_col), ["id", "k1"], "left")
+    rest = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text")).filter("id IS NULL OR text IS NULL")
+    none = rest.select("id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    return marked.select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").unionByName(none)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with the repeated passages cut out of the text.
+
+    ``length_col`` is set to the characters left where a text was cut.
+    """
+    columns = docs.columns
+    named_by_place = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    id_, text = (f"c{columns.index(c)}" for c in (id_col, text_col))
+    marks = repeat_marks(docs, id_col, text_col).select(F.col("id").alias("m_id"), F.col("k1").alias("m_k1"), "copy", "starts")
+    joined = named_by_place.join(marks, (F.col(id_).cast("long") == F.col("m_id")) & (_text_key(F.col(text).cast("string")) == F.col("m_k1")), "left")
+    cut = joined.withColumn("cut", cut_text(text, F.coalesce("copy", F.lit(False)), "starts"))
+    new = {text: F.col("cut")}
+    if length_col in columns:
+        old = F.col(f"c{columns.index(length_col)}")
+        new[f"c{columns.index(length_col)}"] = F.when(F.col("cut") == F.col(text), old).otherwise(F.coalesce(F.length("cut"), old).cast(docs.schema[length_col].dataType))
+    return cut.select(*[new.get(f"c{i}", F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 @F.arrow_udf("struct<n_words:long,n_removed:long,kept:string>")
