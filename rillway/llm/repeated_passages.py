@@ -110,7 +110,12 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def text_tag(key: str) -> Column:
+    """16 bits of a text's key."""
+    return F.col(key).bitwiseAND(0xFFFF)
+
+
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     return rows.filter("id IS NOT NULL AND text IS NOT NULL").withColumn("k1", _text_key(F.col("text")))
 
@@ -133,7 +138,7 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each other. Null, blank and short texts (under 50 words) stay as they are. An empty table gives
     no rows. Other columns are neither read nor returned.
     """
-    texts = _with_keys(docs, id_col, text_col)
+    texts = with_keys(docs, id_col, text_col)
     narrow = texts.select("id", "k1", F.xxhash64(F.lit(1), "text").alias("k2"))
     first = narrow.groupBy("k1", "k2").agg(F.min("id").alias("first_id"))
     copies = narrow.join(first, ["k1", "k2"]).filter("first_id < id").select("id", "k1").distinct()
@@ -160,7 +165,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are shuffled once, by id, for both the windows and the result.
     """
-    texts = _with_keys(docs, id_col, text_col)
+    texts = with_keys(docs, id_col, text_col)
     marked = texts.join(repeat_marks(docs, id_col, text_col), ["id", "k1"], "left")
     rest = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text")).filter("id IS NULL OR text IS NULL")
     none = rest.select("id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
