@@ -20,6 +20,8 @@ PERCENT = 75
 # 32 bands of 4 ranks: two sets at 0.75 share no band with probability (1 - 0.75**4)**32 = 5e-6.
 RANKS = 128
 BAND_RANKS = 4
+# Shingles of at most so many open texts count as rare.
+RARE = 4
 # Members that one copy of a centre's text is compared with.
 CENTRE_LOAD = 256
 
@@ -138,11 +140,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in half of the ranks: at 0.75, fewer agree with probability 1e-10."""
+    """Pairs whose signatures agree in 9/16 of the ranks: at 0.75, fewer agree with probability 1e-6."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, RANKS) for c in batch.columns[2:4])
-            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) * 2 >= RANKS))
+            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) * 16 >= 9 * RANKS))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -157,6 +159,67 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.join(centres, ["a", "copy"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return rows.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = np.asarray(batch.column(0))
+        for row, grams, bounds in shingle_hashes(batch.column(1)):
+            owner = np.repeat(ids[row : row + len(bounds) - 1], np.diff(bounds))
+            yield pa.record_batch([pa.array(grams.view(np.int64)), pa.array(owner)], ["gram", "id"])
+
+
+def _possible(between: DataFrame, near: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components of ``between`` (bucket, b, component) that could be linked.
+
+    Sets of n_x and n_y shingles are linked if they share 3/7 (n_x + n_y) or more. They share at most
+    min(n_x - rare_x, n_y - rare_y) + both, where rare counts a set's shingles that at most RARE open
+    texts have, and both those that x and y have in common. Pairs with a rare shingle in common come
+    from a join on rare shingles, which makes at most RARE / 2 pairs per row; for all other pairs of
+    a bucket both is 0. Pairs below the bound are not linked, so leaving them out loses nothing.
+    """
+    spark = between.sparkSession
+    part = between.select("b", "component").distinct()
+    texts = near.join(part.select(F.col("b").alias("id")), "id", "left_semi").select("id", "text")
+    path = scratch_path(spark, "shingles")
+    texts.mapInArrow(_listed, "gram long, id long").distinct().write.parquet(path)
+    grams = spark.read.parquet(path)
+    seldom = grams.groupBy("gram").agg(F.count("*").alias("texts")).filter(f"texts <= {RARE}")
+    rare = grams.join(seldom, "gram").select("gram", "texts", "id")
+    counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
+    known = (
+        sizes.join(part, sizes["id"] == part["b"]).join(counts, "id", "left")
+        .select("id", "component", F.col("n_shingles").alias("n"), F.coalesce("rare", F.lit(0)).alias("rare"))
+    )
+
+    def bounded(both: str) -> str:
+        return f"7 * (least(n_a - rare_a, n_b - rare_b) + {both}) >= 3 * (n_a + n_b) AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
+
+    twice = rare.filter("texts > 1").select("gram", "id").join(known, "id")
+    left = twice.select("gram", F.col("id").alias("a"), F.col("component").alias("c"), F.col("n").alias("n_a"), F.col("rare").alias("rare_a"))
+    right = twice.select("gram", F.col("id").alias("b"), F.col("component").alias("e"), F.col("n").alias("n_b"), F.col("rare").alias("rare_b"))
+    # Two texts have at most the rare shingles of either in common, so most pairs need not be counted.
+    met = left.join(right, "gram").filter("a < b AND c <> e AND " + bounded("least(rare_a, rare_b)"))
+    by_shingle = met.groupBy("a", "b", "n_a", "n_b", "rare_a", "rare_b").agg(F.count("*").alias("both")).filter(bounded("both")).select("a", "b")
+
+    facts = known.filter("4 * rare <= n").select(F.col("id").alias("b"), "n", "rare")
+    rows = _mixed(between.join(facts, "b"))
+    largest = (
+        rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        .groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    )
+    few = rows.join(largest, "bucket").filter("component <> main").select(
+        "bucket", F.col("b").alias("p"), F.col("component").alias("c"), F.col("n").alias("n_a"), F.col("rare").alias("rare_a")
+    )
+    others = rows.withColumnsRenamed({"n": "n_b", "rare": "rare_b"})
+    by_bucket = few.join(others, "bucket").filter("component <> c AND " + bounded("0")).select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b"))
+    return by_shingle.unionByName(by_bucket).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with n_shingles, component_id (smallest id reachable) and kept, beside the id.
 
@@ -165,12 +228,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One scan makes a SuperMinHash signature and a key of the full set per text.
     2. Texts with equal sets become one class, represented by the smallest id.
-    3. Representatives meet in the buckets of their bands. Each is compared with the smallest id of
-       its bucket, so a bucket of any size makes as many pairs as it has members, and groups that
-       are all alike come out as one component.
-    4. Where a bucket still holds several components, the rows outside its largest component are
-       compared with all of the others whose signatures agree in half of the ranks. So no pair that
-       shares a bucket is left open, but pairs within a component are not expanded.
+    3. Representatives meet in the buckets of their bands. In each bucket all are compared with one
+       centre, the text that meets most others over all its buckets, so a bucket of any size makes
+       as many pairs as it has members. Copies of one text with changes of their own are all linked
+       to their cleanest copy if they are linked to any.
+    4. What this leaves in several components is compared pair by pair, but only where rare
+       shingles leave room for a link (see ``_possible``) and 9/16 of the ranks agree. So no pair
+       that shares a bucket is left open, and pairs within a component are not expanded.
     5. Links found in 3 and 4 are grouped by distributed union-find.
 
     Texts travel only for the pairs' ids. Ranks, buckets and links never reach the driver.
@@ -191,11 +255,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = sketches.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = filled.groupBy("set_key").agg(F.min("id").alias("rep"))
     reps = written(
-        filled.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "signature"), "classes"
+        filled.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n_shingles", "signature"), "classes"
     )
-    buckets = reps.mapInArrow(_bands, "bucket long, id long")
-    centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("bucket", "a")
-    shared = written(buckets.join(centres, "bucket").select("bucket", "a", F.col("id").alias("b")), "buckets")
+    buckets = reps.select("id", "signature").mapInArrow(_bands, "bucket long, id long")
+    sizes = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("size")).filter("a < z")
+    joint = written(buckets.join(sizes.select("bucket", "size"), "bucket"), "buckets")
+    met = joint.groupBy("id").agg(F.sum("size").alias("met"))
+    centres = joint.join(met, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("a"))
+    shared = written(joint.join(centres, "bucket").select("bucket", "a", F.col("id").alias("b")), "buckets")
     stars = written(shared.filter("a <> b").select("a", "b").distinct(), "stars")
     wanted = shared.select(F.col("b").alias("id")).distinct()
     near = written(texts.join(wanted, "id", "left_semi"), "texts")
@@ -207,18 +274,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = shared.join(part, shared["b"] == part["node"], "left").select(
         "bucket", "b", F.coalesce("component", "b").alias("component")
     )
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    open_rows = written(held.join(mixed, "bucket", "left_semi"), "open")
-    largest = (
-        open_rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        .groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    )
-    marked = open_rows.join(largest, "bucket")
-    small = marked.filter("component <> main").select("bucket", F.col("b").alias("p"), F.col("component").alias("c"))
-    pairs = (
-        small.join(open_rows, "bucket").filter("component <> c")
-        .select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    between = written(_mixed(held), "open")
+    pairs = _possible(between, near, reps.select("id", "n_shingles")).join(
+        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
     )
     signed = (
         pairs.join(reps.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a")
