@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillway.llm.word_arrays import mix, split_words, text_bytes
 from rillway.sources.fields import named
@@ -33,7 +34,7 @@ def _table(characters: bytes) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("struct<" + ",".join(f"{name}:long" for name in _MEASURES) + ">")
+@F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in _MEASURES]))
 def text_measures(text: pa.Array) -> pa.Array:
     """Counts over a whole text; null counts as empty. Letters are A-Z, a-z and all beyond ASCII."""
     symbols, shouts = _table(b"#*$%&|<>"), _table(b"!?")
@@ -130,22 +131,23 @@ FALSE_ALARMS = 0.005
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Accuracies:
     """Expectation-maximisation over the distinct vote patterns.
 
-    It begins with texts that no rule votes against as likely good and all others as likely bad.
-    Most bad texts fail one rule only, so agreement between rules alone does not tell a bad text
-    from a rule that errs on good ones. What ties the classes down is that rules are written to
-    spare good texts: votes against those stay within FALSE_ALARMS. Each share has a few
-    pseudo-counts. Without any text, what the pseudo-counts say is returned.
+    It begins with texts that some rule votes against as likely bad. Most bad texts fail one rule
+    only, so agreement between rules alone does not tell a bad text from a rule that errs on good
+    ones. Two things tie the classes down: rules are written to spare good texts, so votes against
+    those stay within FALSE_ALARMS; and there is no sign of badness but a vote, so texts without one
+    against them count as good throughout. Each share has a few pseudo-counts. Without any text, what the pseudo-counts say is returned.
     """
     n_rules = votes.shape[1] if votes.size else len(RULES)
     votes, counts = votes.reshape(-1, n_rules), counts.astype(float)
-    good = np.where((votes < 0).any(axis=1), 0.1, 0.9)
+    spared = ~(votes < 0).any(axis=1)
+    good = np.where(spared, 1.0, 0.1)
     for _ in range(rounds):
         wg, wb = counts * good, counts * (1 - good)
         share = np.clip((wg.sum() + 8) / (counts.sum() + 10), 0.05, 0.95)
         right_good = np.clip((wg @ (votes > 0) + 8) / (wg @ (votes != 0) + 10), 1 - FALSE_ALARMS, 0.9999)
         right_bad = np.clip((wb @ (votes < 0) + 5) / (wb @ (votes != 0) + 10), 1 - right_good, 0.999)
         odds = np.log(share / (1 - share)) + (votes > 0) @ np.log(right_good / (1 - right_bad)) + (votes < 0) @ np.log((1 - right_good) / right_bad)
-        now = 1 / (1 + np.exp(-odds))
+        now = np.where(spared, 1.0, 1 / (1 + np.exp(-odds)))
         if len(now) == 0 or np.abs(now - good).max() < 1e-9:
             break
         good = now
@@ -153,12 +155,15 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Accura
 
 
 def probability(m: Column, accuracies: Accuracies) -> Column:
-    """The posterior probability that a text is good, from its votes."""
+    """The posterior probability that a text is good, from its votes; 0.5 at least without one against."""
+    spared = F.lit(True)
     odds = F.lit(float(np.log(accuracies.good_share / (1 - accuracies.good_share))))
     for rule, g, b in zip(RULES, accuracies.on_good, accuracies.on_bad):
         vote = rule.vote(m)
+        spared = spared & (vote >= 0)
         odds = odds + F.when(vote > 0, float(np.log(g / (1 - b)))).when(vote < 0, float(np.log((1 - g) / b))).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    good = 1 / (1 + F.exp(-odds))
+    return F.when(spared, F.greatest(good, F.lit(0.5))).otherwise(good)
 
 
 def learn_accuracies(measured: DataFrame, m: Column) -> Accuracies:
