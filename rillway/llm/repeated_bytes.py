@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillway.llm.bwt_merge import repeated
 from rillway.llm.repeated_passages import text_tag, with_keys
@@ -232,7 +233,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-@F.arrow_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
+@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]).add("kept", T.BinaryType()))
 def kept_bytes(text: pa.Array, copy: pa.Array, spans: pa.Array) -> pa.Array:
     """What stays of the UTF-8 bytes, and how many bytes and unbroken stretches went."""
     rows = []

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillway.llm.word_arrays import text_bytes
 from rillway.session import scratch_path
@@ -32,7 +33,7 @@ _CHUNK_ARROW = pa.schema(
 )
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def base32(digest: pa.Array) -> pa.Array:
     return pa.array([None if d is None else base64.b32encode(d).decode() for d in digest.to_pylist()], pa.string())
 
