@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillway.llm.word_arrays import Rolling, split_words
+from rillway.session import scratch_path
 from rillway.sources.fields import named
 
 WINDOW = 50
@@ -70,7 +72,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(two hashes, id, text key, place) of every window that holds a shared anchor."""
+    """(two hashes, id, spot) of every window that holds a shared anchor.
+
+    The spot is the place, with 16 bits of the text key that tell texts of one id apart.
+    """
     for batch in batches:
         ids, keys, places = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
         for words in split_words(batch.column(2)):
@@ -87,10 +92,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = words.windows(WINDOW)
             start = start[near[start]]
             owner = np.searchsorted(words.first, start, "right") - 1
-            first, second = (Rolling(words.hashes(seed)).of(start, start + WINDOW).view(np.int64) for seed in (0, 1))
+            first, second = (Rolling(words.hashes(seed)).of(start, start + WINDOW) for seed in (0, 1))
+            spot = ((start - words.first[owner]) << 16) | (keys[words.row + owner] & 0xFFFF)
             yield pa.record_batch(
-                [pa.array(first), pa.array(second), pa.array(ids[words.row + owner]), pa.array(keys[words.row + owner]), pa.array((start - words.first[owner]).astype(np.int32))],
-                ["h1", "h2", "id", "k1", "place"],
+                [pa.array(first.view(np.int64)), pa.array(second.astype(np.uint32).view(np.int32)), pa.array(ids[words.row + owner]), pa.array(spot)],
+                ["h1", "h2", "id", "spot"],
             )
 
 
@@ -110,20 +116,15 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def text_tag(key: str) -> Column:
-    """16 bits of a text's key."""
-    return F.col(key).bitwiseAND(0xFFFF)
-
-
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     return rows.filter("id IS NOT NULL AND text IS NOT NULL").withColumn("k1", _text_key(F.col("text")))
 
 
 def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k1, copy, starts): what of each text stands in a text with a smaller id, where there is any.
+    """(id, tag, copy, starts): what of each text stands in a text with a smaller id, where there is any.
 
-    k1 is the hash of the text. ``starts`` holds the first words of the windows of 50 words that also
+    The tag is 16 bits of the text's hash. ``starts`` holds the first words of the windows of 50 words that also
     begin in a document with a smaller id. ``copy`` says that the whole text has an equal one with a
     smaller id, in which case the windows are not listed.
 
@@ -131,7 +132,7 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        of all places. Two equal windows, wherever they begin, have such an anchor in common.
     2. Anchors are sorted by hash and text over ranges that cut through a hash, so an anchor of any
        frequency is spread; those in one text only are dropped. Equal texts count as one text.
-    3. Around shared anchors, and only there, each window gets a 128-bit hash; the smallest id per
+    3. Around shared anchors, and only there, each window gets a 96-bit hash; the smallest id per
        hash is an aggregate, reduced in each task before the shuffle.
 
     A null id: nothing is removed and the row is no source. Rows that repeat an id are no sources for
@@ -147,26 +148,35 @@ def repeat_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = anchors.repartitionByRange("h", "k1", "place").sortWithinPartitions("h", "k1")
     shared = ordered.mapInArrow(_shared, "k1 long, place int").distinct()
     places = shared.groupBy("k1").agg(F.collect_list("place").alias("places"))
-    sources = places.join(first.select("k1", F.col("first_id").alias("id")), "k1")
+    sources = places.join(first.select("k1", F.col("first_id").alias("s_id")), "k1").withColumn("s_tag", text_tag("k1")).drop("k1")
+    path = scratch_path(docs.sparkSession, "anchors")
+    sources.write.parquet(path)
+    sources = docs.sparkSession.read.parquet(path)
     windows = (
-        texts.join(sources, ["id", "k1"]).select("id", "k1", "text", "places")
-        .mapInArrow(_windows, "h1 long, h2 long, id long, k1 long, place int")
+        texts.join(sources, (F.col("id") == F.col("s_id")) & (text_tag("k1") == F.col("s_tag"))).select("id", "k1", "text", "places")
+        .mapInArrow(_windows, "h1 long, h2 int, id long, spot long")
     )
     lowest = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    hits = windows.join(lowest, ["h1", "h2"]).filter("low < id").select("id", "k1", "place")
-    starts = hits.groupBy("id", "k1").agg(F.sort_array(F.collect_set("place")).alias("starts"), F.lit(False).alias("copy"))
-    return starts.select("id", "k1", "copy", "starts").unionByName(
-        copies.select("id", "k1", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    place, tag = F.shiftright("spot", 16).cast("int"), F.col("spot").bitwiseAND(0xFFFF)
+    hits = windows.join(lowest, ["h1", "h2"]).filter("low < id").select("id", tag.alias("tag"), place.alias("place"))
+    starts = hits.groupBy("id", "tag").agg(F.sort_array(F.collect_set("place")).alias("starts"), F.lit(False).alias("copy"))
+    return starts.select("id", "tag", "copy", "starts").unionByName(
+        copies.select("id", text_tag("k1").alias("tag"), F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts")).distinct()
     )
 
 
+def text_tag(key: str) -> Column:
+    return F.col(key).bitwiseAND(0xFFFF)
+
+
 def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, copy, starts) for every row, from ``repeat_marks``; ``kept_words`` applies them.
 
     Texts are shuffled once, by id, for both the windows and the result.
     """
     texts = with_keys(docs, id_col, text_col)
-    marked = texts.join(repeat_marks(docs, id_col, text_col), ["id", "k1"], "left")
+    marks = repeat_marks(docs, id_col, text_col).withColumnsRenamed({"id": "m_id", "tag": "m_tag"})
+    marked = texts.join(marks, (texts["id"] == marks["m_id"]) & (text_tag("k1") == F.col("m_tag")), "left")
     rest = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text")).filter("id IS NULL OR text IS NULL")
     none = rest.select("id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     return marked.select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").unionByName(none)
@@ -180,8 +190,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = docs.columns
     named_by_place = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     id_, text = (f"c{columns.index(c)}" for c in (id_col, text_col))
-    marks = repeat_marks(docs, id_col, text_col).select(F.col("id").alias("m_id"), F.col("k1").alias("m_k1"), "copy", "starts")
-    joined = named_by_place.join(marks, (F.col(id_).cast("long") == F.col("m_id")) & (_text_key(F.col(text).cast("string")) == F.col("m_k1")), "left")
+    marks = repeat_marks(docs, id_col, text_col).withColumnsRenamed({"id": "m_id", "tag": "m_tag"})
+    tag = _text_key(F.col(text).cast("string")).bitwiseAND(0xFFFF)
+    joined = named_by_place.join(marks, (F.col(id_).cast("long") == F.col("m_id")) & (tag == F.col("m_tag")), "left")
     cut = joined.withColumn("cut", cut_text(text, F.coalesce("copy", F.lit(False)), "starts"))
     new = {text: F.col("cut")}
     if length_col in columns:
@@ -190,7 +201,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return cut.select(*[new.get(f"c{i}", F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)])
 
 
-@F.arrow_udf("struct<n_words:long,n_removed:long,kept:string>")
+@F.arrow_udf(T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept", T.StringType()))
 def kept_words(text: pa.Array, copy: pa.Array, starts: pa.Array) -> pa.Array:
     """The words that stay, joined by one space."""
     counts, gone, kept = [], [], []
@@ -203,7 +214,7 @@ def kept_words(text: pa.Array, copy: pa.Array, starts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept"])
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def cut_text(text: pa.Array, copy: pa.Array, starts: pa.Array) -> pa.Array:
     """The text without the removed words; the white space after a removed word goes with it."""
     out = []
