@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rillway.functions.text import stem_key
 from rillway.session import scratch_path
@@ -78,10 +77,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     The list is written once, as both sides of a join read it.
     """
     spark = df.sparkSession
-    counts = df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    path = scratch_path(spark, "hot-keys")
-    counts.filter(F.col("_n") > F.lit(share * df.count())).drop("_n").write.parquet(path)
-    return spark.read.parquet(path)
+    if not 0.0001 <= share <= 1:
+        raise ValueError("share must be between 0.0001 and 1, as 1 / share keys may be broadcast")
+    path = scratch_path(spark, "key-counts")
+    df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.filter(F.col("_n") > F.lit(share * total)).drop("_n")
 
 
 def salted_join(
@@ -96,9 +98,10 @@ def salted_join(
 ) -> DataFrame:
     """``equi_join`` for a left side with known hot keys, where AQE's split does not apply.
 
-    Rows of a hot key are spread over ``copies`` salts by a hash of the row, and the right rows of
-    that key are repeated for each salt. All other keys have one salt. The list of hot keys has
-    fewer than 1 / share rows, so broadcasting it is safe.
+    Rows of a hot key are spread over ``copies`` salts in turn, equal rows too, and the right rows of
+    that key are repeated for each salt. All other keys have one salt. Rows without a key, which
+    have no partner, are spread as well. The list of hot keys has fewer than 1 / share rows, so
+    broadcasting it is safe.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can repeat the right side")
@@ -113,9 +116,9 @@ def salted_join(
         marked = df.join(F.broadcast(hot), same, "left")
         return marked.select(*[named(c) for c in df.columns], F.col("_h0").isNotNull().alias("_hot"))
 
-    hashable = [named(f.name) for f in left.schema if not isinstance(f.dataType, T.MapType)]
-    salt = F.pmod(F.xxhash64(*hashable), F.lit(copies)).cast("int")
-    salted = mark(left, left_keys).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(copies)).cast("int")
+    spread = F.col("_hot") | reduce(or_, [named(k).isNull() for k in left_keys])
+    salted = mark(left, left_keys).withColumn("_salt", F.when(spread, salt).otherwise(0)).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
     repeated = mark(right, right_keys).withColumn("_salt", F.explode(salts)).drop("_hot")
     joined = equi_join(salted, repeated, [*pairs, "_salt"], how, suffix=suffix)

@@ -1,51 +1,40 @@
-"""Ordered line differences between two texts of a row."""
+"""Line differences between two texts of a row, with positions."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from rillway.functions.text import lines_of
 from rillway.operators.arrays import rows_of
 from rillway.sources.fields import named
 
-_ROWS = T.ArrayType(
-    T.StructType([T.StructField(name, T.StringType()) for name in ("rule", "before", "after", "note")])
-)
-
-
-def _row(rule: str, before: str, after: str) -> dict:
-    return {"rule": rule, "before": before, "after": after, "note": ""}
 
+def line_diff(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, pos, rule, before, after, note): the lines that only one of two texts of a row has.
 
-def _changes(before: str, after: str) -> list[dict]:
-    rows = []
-    # The first two lines of a unified diff name the files.
-    for line in list(difflib.unified_diff(before.splitlines(), after.splitlines(), lineterm=""))[2:]:
-        match line[:1]:
-            case "@":
-                rows.append(_row("HUNK", "", line))
-            case "+":
-                rows.append(_row("DIFF_INSERT", "", line[1:]))
-            case "-":
-                rows.append(_row("DIFF_DELETE", line[1:], ""))
-    return rows
-
+    The n-th copy of a line in one text stands for the n-th copy in the other; what has no partner
+    is deleted or inserted, at its line number (from 0) in its own text. A line that only moved is
+    no difference. Both sides meet in an equi join on document, line and copy, so the lines of a
+    long document spread over tasks. Equal texts give no rows; null is an empty text.
+    """
+    changed = df.filter(~named(before).eqNullSafe(named(after)))
 
-@F.pandas_udf(_ROWS)
-def diff_rows(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([_changes(b or "", a or "") for b, a in zip(before, after)])
+    def numbered(text: str, line: str, pos: str) -> DataFrame:
+        lines = rows_of(changed, key, lines_of(F.coalesce(named(text), F.lit(""))), item=line, position=pos)
+        copy = Window.partitionBy(named(key), line).orderBy(pos)
+        return lines.withColumn("_copy", F.row_number().over(copy)).withColumnRenamed(key, f"_key_{pos}")
 
+    old, new = numbered(before, "_old", "_from"), numbered(after, "_new", "_to")
+    same = (F.col("_key__from") == F.col("_key__to")) & (F.col("_old") == F.col("_new")) & (old["_copy"] == new["_copy"])
 
-def line_diff(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """Hunks, inserted and deleted lines in order, as rows with a position per document.
+    def rows(frame: DataFrame, key_col: str, pos: str, rule: str, deleted: Column, inserted: Column) -> DataFrame:
+        return frame.select(
+            F.col(key_col).alias(key), F.col(pos).alias("pos"), F.lit(rule).alias("rule"),
+            deleted.alias("before"), inserted.alias("after"), F.lit("").alias("note"),
+        )
 
-    Line order matters here, which the built-in functions cannot compare; each document is diffed
-    on its own, in Arrow batches. Equal texts, which have no rows, never leave the JVM.
-    """
-    changed = df.filter(~named(before).eqNullSafe(named(after)))
-    rows = rows_of(changed, key, diff_rows(named(before), named(after)), item="row", position="pos")
-    return rows.select(named(key), "pos", "row.*")
+    none = F.lit("")
+    deletes = rows(old.join(new, same, "left_anti"), "_key__from", "_from", "DIFF_DELETE", F.col("_old"), none)
+    inserts = rows(new.join(old, same, "left_anti"), "_key__to", "_to", "DIFF_INSERT", none, F.col("_new"))
+    return deletes.unionByName(inserts)

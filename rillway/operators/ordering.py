@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillway.session import scratch_path
 from rillway.sources.fields import named
 
 # monotonically_increasing_id keeps the row position within a partition in its lower 33 bits.
 _POSITION_MASK = (1 << 33) - 1
-# Up to so many rows may meet in one task or the driver.
-_SMALL_LIMIT = 100_000
 
 SortKey = str | tuple[str, str] | Column
 
@@ -58,7 +57,10 @@ def rank_rows(
     many partitions, and numbered by partition. ``count_out`` also adds the size of the group.
     """
     order = [named(c).asc() for c in within] + sort_keys(df, keys, case_sensitive)
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Ranges may cut through rows with equal keys, by their hash and place, so no key is a hot range.
+    ties = df.withColumn("_tie", F.struct(row_hash(df), _position()))
+    cut = [*order, F.col("_tie").asc()]
+    placed = ties.repartitionByRange(*cut).sortWithinPartitions(*cut).drop("_tie")
     return _numbered(placed, within, out, count_out)
 
 
@@ -70,8 +72,7 @@ def _numbered(df: DataFrame, within: Sequence[str], out: str, count_out: str | N
     of the group in the partitions before, taken from one summary row per group and partition.
     """
     path = scratch_path(df.sparkSession, "numbered")
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))
-    df.withColumn("_part", F.spark_partition_id()).withColumn("_pos", position).write.parquet(path)
+    df.withColumn("_part", F.spark_partition_id()).withColumn("_pos", _position()).write.parquet(path)
     placed = df.sparkSession.read.parquet(path)
     group = [named(c) for c in within]
     pieces = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
@@ -94,26 +95,39 @@ def _numbered(df: DataFrame, within: Sequence[str], out: str, count_out: str | N
     return joined.select(*[named(c) for c in df.columns], *added)
 
 
+def _position() -> Column:
+    return F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))
+
+
 def take_rows(df: DataFrame, limit: int = 0) -> DataFrame:
-    """At most ``limit`` rows; 0 means all. A large limit does not pass through one task."""
+    """At most ``limit`` rows; 0 means all.
+
+    Each task passes on that many of its rows, which are numbered over tasks; none pass through one
+    task, whatever the limit.
+    """
     if not limit:
         return df
-    if limit <= _SMALL_LIMIT:
-        return df.limit(limit)
-    return _numbered(df, (), "_rn").filter(F.col("_rn") <= limit).drop("_rn")
+    first = df.withColumn("_at", _position()).filter(F.col("_at") < limit).drop("_at")
+    return _numbered(first, (), "_rn").filter(F.col("_rn") <= limit).drop("_rn")
 
 
 def top_rows(df: DataFrame, keys: Sequence[SortKey], n: int, case_sensitive: bool = True) -> DataFrame:
-    """The first ``n`` rows in order: each task keeps n rows, which are then merged.
+    """The first ``n`` rows in order, for any ``n``; rows with equal keys go by a hash of the row.
 
-    A large ``n`` is cut by rank instead; then ``keys`` should end in a unique one.
+    Each task sorts its rows and passes on the first n; those are ranked over all tasks.
     """
-    if n <= _SMALL_LIMIT:
-        return sort_rows(df, keys, case_sensitive).limit(n)
-    ranked = rank_rows(df, keys, case_sensitive=case_sensitive, out="_rn")
+    tie = row_hash(df)
+    order = [*sort_keys(df, keys, case_sensitive), tie.asc()]
+    first = df.sortWithinPartitions(*order).withColumn("_at", _position()).filter(F.col("_at") < n).drop("_at")
+    ranked = rank_rows(first, [*keys, tie.asc()], case_sensitive=case_sensitive, out="_rn")
     return ranked.filter(F.col("_rn") <= n).orderBy("_rn").drop("_rn")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps, which have no order of their own."""
+    return F.xxhash64(*[named(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)])
+
+
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` per key.
 

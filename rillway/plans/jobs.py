@@ -19,6 +19,7 @@ from rillway.operators.joins import equi_join
 from rillway.operators.ordering import sort_rows
 from rillway.operators.rows import above, all_of, equals, select_fields, where
 from rillway.plans import layouts
+from rillway.session import scratch_path
 from rillway.sources.delimited import read_delimited, write_delimited
 from rillway.sources.fields import Field, named
 from rillway.sources.tables import read_query, read_table, write_table
@@ -237,15 +238,25 @@ FILE_JOBS = {
 
 
 def run_file_job(spark: SparkSession, name: str, *, output_csv: str | None = None, **params) -> DataFrame:
-    """Run a job by name. Input paths and limits not given keep their defaults; returns the result."""
+    """Run a job by name. Input paths and limits not given keep their defaults; returns the result.
+
+    The result is computed once, into scratch, before the output is touched: a job may write over
+    its own input, and the rows returned are those written.
+    """
     job = FILE_JOBS[name]
     frames = [
         read_delimited(spark, params.pop(param, default), fields)
         for param, (default, fields) in job.inputs.items()
     ]
-    result = job.transform(*frames, **params)
-    write_delimited(result, output_csv or job.output)
-    return result
+    return _kept(job.transform(*frames, **params), output_csv or job.output)
+
+
+def _kept(result: DataFrame, output_csv: str) -> DataFrame:
+    aside = scratch_path(result.sparkSession, "result")
+    result.write.parquet(aside)
+    rows = result.sparkSession.read.parquet(aside)
+    write_delimited(rows, output_csv)
+    return rows
 
 
 # The tables of the order-sites job.
@@ -274,15 +285,11 @@ def run_order_sites_query(
     return result
 
 
-def run_active_suppliers(spark: SparkSession, output_csv: str = "output/orders.csv") -> DataFrame:
-    result = active_suppliers(read_table(spark, "PO_SUPPLIERS", ["SUPPLIER_ID", "NAME", "STATUS"]))
-    write_delimited(result, output_csv)
-    return result
+def run_active_suppliers(spark: SparkSession, output_csv: str = "output/suppliers.csv") -> DataFrame:
+    return _kept(active_suppliers(read_table(spark, "PO_SUPPLIERS", ["SUPPLIER_ID", "NAME", "STATUS"])), output_csv)
 
 
 def run_quantity_by_customer(spark: SparkSession, output_csv: str = "output/orders.csv") -> DataFrame:
     lines = read_table(spark, "OE_ORDER_LINES_ALL", ["LINE_ID", "ORDER_ID", "ITEM_ID", "QUANTITY"])
     headers = read_table(spark, "OE_ORDER_HEADERS_ALL", ["ORDER_ID", "CUSTOMER_ID", "ORDER_DATE"])
-    result = quantity_by_customer(lines, headers)
-    write_delimited(result, output_csv)
-    return result
+    return _kept(quantity_by_customer(lines, headers), output_csv)

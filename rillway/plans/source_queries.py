@@ -32,6 +32,28 @@ def q_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN NULL ELSE lang END AS note, chr(92) || text AS slashed FROM documents")
+def q_csv_line_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with line breaks, quotes and back-slashes, and empty texts beside NULLs."""
+    note = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 2, F.col("lang"))
+    texts = table(spark, d, "documents").select("doc_id", "text", note.alias("note"), F.concat(F.lit("\\"), "text").alias("slashed"))
+    folder = scratch_path(spark, "breaks")
+    write_delimited(texts, folder)
+    fields = [Field("doc_id", "long"), *[Field(c, trim="none") for c in ("text", "note", "slashed")]]
+    return read_delimited(spark, folder, fields, empty_text=True)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, upper(s_name), -s_acctbal FROM supplier")
+def q_csv_mixed_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Files of one folder with their columns in different orders."""
+    folder = scratch_path(spark, "mixed")
+    suppliers = table(spark, d, "supplier")
+    write_delimited(suppliers.select("s_suppkey", "s_name", "s_acctbal"), folder)
+    other = suppliers.select((-F.col("s_acctbal")).alias("s_acctbal"), (F.col("s_suppkey") + 1000000).alias("s_suppkey"), F.upper("s_name").alias("s_name"))
+    write_delimited(other, folder, append=True)
+    return read_delimited(spark, folder, [Field("s_suppkey", "long"), Field("s_name", trim="both"), Field("s_acctbal", "double")])
+
+
 @query("SELECT c_custkey, c_name AS both_sides, c_name || ' ' AS left_side, '  ' || c_name AS right_side FROM customer")
 def q_field_trim(spark: SparkSession, d: str) -> DataFrame:
     padded = F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))

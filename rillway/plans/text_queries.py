@@ -234,19 +234,31 @@ def q_line_except(spark: SparkSession, d: str) -> DataFrame:
     return line_multiset_diff(_page_versions(spark, d), "page_id", pieces["before"], pieces["after"])
 
 
-@query(_NET_SQL)
+# Pages have line ends of their own besides those put in place of '>'.
+_LINES = "string_split_regex({0}, '>|\\r\\n|\\n|\\r')"
+
+
+def _numbered_sql(text: str) -> str:
+    return f"""
+      SELECT page_id, line, pos, row_number() OVER (PARTITION BY page_id, line ORDER BY pos) AS copy FROM (
+        SELECT page_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM (
+          SELECT page_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS parts
+          FROM (SELECT page_id, {_LINES.format(text)} AS p FROM pages)))"""
+
+
+@query(
+    f"""
+    WITH b AS ({_numbered_sql("html")}), a AS ({_numbered_sql("replace(html, '###', '')")})
+    SELECT page_id, CAST(pos AS INTEGER) AS pos, 'DIFF_DELETE' AS rule, line FROM b ANTI JOIN a USING (page_id, line, copy)
+    UNION ALL
+    SELECT page_id, CAST(pos AS INTEGER), 'DIFF_INSERT', line FROM a ANTI JOIN b USING (page_id, line, copy)
+    """
+)
 def q_line_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered diff; its inserts less its deletes are the same multiset difference."""
-    rows = line_diff(_page_versions(spark, d), "page_id", "before", "after").filter("rule <> 'HUNK'")
+    """Deleted and inserted lines with their numbers."""
+    rows = line_diff(_page_versions(spark, d), "page_id", "before", "after")
     line = F.when(F.col("rule") == "DIFF_INSERT", F.col("after")).otherwise(F.col("before"))
-    sign = F.when(F.col("rule") == "DIFF_INSERT", 1).otherwise(-1)
-    net = rows.groupBy("page_id", line.alias("line")).agg(F.sum(sign).alias("net")).filter("net <> 0")
-    return net.select(
-        "page_id",
-        F.when(F.col("net") > 0, "DIFF_INSERT").otherwise("DIFF_DELETE").alias("rule"),
-        "line",
-        F.abs("net").alias("copies"),
-    )
+    return rows.select("page_id", "pos", "rule", line.alias("line"))
 
 
 @query(

@@ -19,7 +19,7 @@ from rillway.session import scratch_path
 from rillway.sources.delimited import read_delimited, write_delimited
 from rillway.sources.fields import Field
 
-_STAMP = "yyyy-MM-dd HH:mm:ss"
+_STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def _through_files(df: DataFrame, fields: list[Field]) -> DataFrame:
@@ -39,17 +39,17 @@ def w_copy_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,"
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate,"
     " o_orderpriority FROM orders"
 )
 def w_copy_leads(spark: SparkSession, d: str) -> DataFrame:
     fields = [
         Field("o_orderkey", "long"), Field("o_custkey", "long"), Field("o_orderstatus", trim="both"),
-        Field("o_totalprice", "double"), Field("o_orderdate", "date", fmt=_STAMP),
+        Field("o_totalprice", "double"), Field("o_orderdate", "timestamp", fmt=_STAMP),
         Field("o_orderpriority", trim="both"),
     ]
     copied = _through_files(table(spark, d, "orders"), fields)
-    return copied.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return copied.withColumn("o_orderdate", F.date_format("o_orderdate", _STAMP))
 
 
 @query(

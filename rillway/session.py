@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
-# One local scratch folder per process; only used when no cluster folder is named.
-_local_scratch: tempfile.TemporaryDirectory | None = None
-
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -42,19 +39,22 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
+# Where a local session may keep scratch that names no folder.
+LOCAL_SCRATCH = "/tmp/rillway-scratch"
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder for written intermediate tables, where all executors can reach it.
 
-    It is below the session's ``spark.checkpoint.dir``. Only a local session may run without that.
+    It is below the session's ``spark.checkpoint.dir``. Only a session whose executors run in the
+    driver's own process may leave that out.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        global _local_scratch
-        if _local_scratch is None:
-            _local_scratch = tempfile.TemporaryDirectory(prefix="rillway-")
-        root = _local_scratch.name
+        root = LOCAL_SCRATCH
     return f"{root.rstrip('/')}/rillway/{spark.conf.get('spark.app.id', 'session')}"
 
 
@@ -63,8 +63,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the session's file systems, if it is there."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. DataFrames that read them can no longer run."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, scratch_root(spark))

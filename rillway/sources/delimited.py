@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
-from rillway.session import scratch_path
+from rillway.session import drop_path, scratch_path
 from rillway.sources.fields import Field, file_name, named, parse_field, struct_of
 
 
@@ -25,14 +27,18 @@ def read_delimited(
     exclude: str | None = None,
     recursive: bool = False,
     required: bool = True,
-    multiline: bool = False,
+    multiline: bool = True,
+    empty_text: bool = False,
     encoding: str = "UTF-8",
 ) -> DataFrame:
     """Typed rows of delimited files.
 
-    With a header, fields are found by name, so a field list may leave out columns anywhere in the
-    file. Without one, they are bound by position. ``multiline`` allows line breaks inside quotes,
-    at the price of files that cannot be split between tasks.
+    With a header, fields are found by name, in each file by its own header, so a field list may
+    leave out columns anywhere, and files may order theirs differently. Without one, they are bound
+    by position. Values may hold line breaks in quotes; a file is then one task's work, so keep
+    files to a moderate size, or state ``multiline=False`` for large files known to have none.
+    An empty field is NULL; with ``empty_text`` a quoted one is an empty text, as
+    ``write_delimited`` writes it.
     """
     reader = (
         spark.read.option("sep", sep)
@@ -43,6 +49,8 @@ def read_delimited(
         .option("encoding", encoding)
         .option("recursiveFileLookup", recursive)
     )
+    if empty_text:
+        reader = reader.option("nullValue", _NO_VALUE)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if not header:
@@ -53,13 +61,54 @@ def read_delimited(
         if required or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], struct_of(fields))
-    if exclude:
-        # A filter on the file name is applied to the file listing, before any file is opened.
-        raw = raw.filter(~file_name().rlike(fnmatch.translate(exclude)))
-    missing = [f.name for f in fields if f.name not in raw.columns]
-    if missing:
-        raise ValueError(f"columns {missing} are not in the header {raw.columns}")
-    return raw.select([parse_field(f, named(f.name)).alias(f.name) for f in fields])
+    parts = [raw]
+    if header:
+        # The reader takes the header of one file for all, so files of another are read apart.
+        by_header = _files_by_header(spark, raw.inputFiles(), encoding)
+        if len(by_header) > 1:
+            parts = [_plain(reader).csv(files) for files in by_header.values()]
+    chosen = []
+    for part in parts:
+        if exclude:
+            # A filter on the file name is applied to the file listing, before any file is opened.
+            part = part.filter(~file_name().rlike(fnmatch.translate(exclude)))
+        missing = [f.name for f in fields if f.name not in part.columns]
+        if missing:
+            raise ValueError(f"columns {missing} are not in the header {part.columns}")
+        chosen.append(part.select([parse_field(f, named(f.name)).alias(f.name) for f in fields]))
+    return reduce(DataFrame.unionByName, chosen)
+
+
+# Stands for a field without a value where empty texts are kept; never text itself.
+_NO_VALUE = "\ufdd0"
+
+
+def _plain(reader: DataFrameReader) -> DataFrameReader:
+    """The same reader for a list of files, which need no choice by name."""
+    return reader.option("pathGlobFilter", "*").option("recursiveFileLookup", False)
+
+
+def _files_by_header(spark: SparkSession, files: Sequence[str], encoding: str) -> dict[str, list[str]]:
+    """Files by their first line, which is all that is read of them here."""
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first_line(file: str) -> str:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs.getCodec(path)
+            plain = codec.createInputStream(stream) if codec else stream
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, encoding)).readLine() or ""
+        finally:
+            stream.close()
+
+    groups: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for file, line in zip(files, pool.map(first_line, files)):
+            groups.setdefault(line, []).append(file)
+    return {line: some for line, some in groups.items() if line} or groups
 
 
 def write_delimited(
@@ -77,7 +126,8 @@ def write_delimited(
 ) -> None:
     """Write a folder of delimited part files, one per task; parent folders are made as needed.
 
-    ``extension`` has three letters.
+    ``extension`` has three letters. Values with line breaks are quoted; NULL is an empty field and
+    an empty text a quoted one, so ``read_delimited`` with ``empty_text`` gives back every value.
     """
     writer = (
         df.write.mode("append" if append else "overwrite")
@@ -97,20 +147,16 @@ def write_delimited(
     writer.csv(path)
 
 
-def write_single_file(df: DataFrame, path: str, max_rows: int = 1_000_000, **options) -> None:
-    """Write a report as one part file.
+def write_single_file(df: DataFrame, path: str, **options) -> None:
+    """Write a report as one part file, whatever its size.
 
-    The rows are computed in parallel into scratch first. A result above ``max_rows`` is refused
-    rather than passed through one task; write it with ``write_delimited``.
+    The rows are computed in parallel into scratch; one task then streams them into the file. For
+    large results the part files of ``write_delimited`` are the better form.
     """
-    spark = df.sparkSession
-    aside = scratch_path(spark, "report")
+    aside = scratch_path(df.sparkSession, "report")
     df.write.parquet(aside)
-    rows = spark.read.parquet(aside)
-    n = rows.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows are too many for one file, the limit is {max_rows}")
-    write_delimited(rows.coalesce(1), path, **options)
+    write_delimited(df.sparkSession.read.parquet(aside).coalesce(1), path, **options)
+    drop_path(df.sparkSession, aside)
 
 
 def output_name(
@@ -143,3 +189,4 @@ def overwrite_source(df: DataFrame, path: str, **options) -> None:
     aside = scratch_path(df.sparkSession, "aside")
     df.write.parquet(aside)
     write_delimited(df.sparkSession.read.parquet(aside), path, **options)
+    drop_path(df.sparkSession, aside)

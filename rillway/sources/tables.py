@@ -38,12 +38,15 @@ def jdbc_query_options(
 ) -> dict[str, str]:
     """Reader options for a SQL query that the database runs.
 
-    Without ``partition_column`` the whole result comes through one connection, which only suits
-    small results. ``limit`` 0 means no limit.
+    A whole result is read in partitions of ``partition_column``, over as many connections. Only a
+    limited one may come through a single connection; the limit is then part of the query, so the
+    database makes no more rows. ``limit`` 0 means no limit.
     """
     options = {"url": url, "fetchsize": str(fetch_size), **(properties or {})}
     if partition_column is None:
-        options["query"] = query
+        if not limit:
+            raise ValueError("a result without limit needs a partition column")
+        options["query"] = f"SELECT * FROM ({query}) src FETCH FIRST {int(limit)} ROWS ONLY"
         return options
     if limit:
         raise ValueError("a limited query cannot be read in partitions")
@@ -61,8 +64,7 @@ def jdbc_query_options(
 
 def read_query(spark: SparkSession, url: str, query: str, *, limit: int = 0, **options) -> DataFrame:
     """Rows of a SQL query over JDBC; see ``jdbc_query_options``."""
-    rows = spark.read.format("jdbc").options(**jdbc_query_options(url, query, limit=limit, **options)).load()
-    return rows.limit(limit) if limit else rows
+    return spark.read.format("jdbc").options(**jdbc_query_options(url, query, limit=limit, **options)).load()
 
 
 def jdbc_table_options(

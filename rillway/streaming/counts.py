@@ -26,13 +26,18 @@ def stream_files(
 def stream_counts(stream: DataFrame, key: str, target: str, checkpoint: str, out: str = "n") -> None:
     """Count rows per key over all files that are there, and keep the result as a table at ``target``.
 
-    State is one row per key. Each batch replaces the table by the complete result, so a batch that
-    is run again after a failure changes nothing.
+    State is one row per key. Each batch writes the complete result to a folder of its own, so a
+    batch that is run again after a failure changes nothing and the result before stays until the
+    next is there; ``read_counts`` reads the last one. No files give an empty table.
     """
     counts = stream.groupBy(named(key)).agg(F.count(F.lit(1)).alias(out))
 
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def replace(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+
+    if not _batches(stream.sparkSession, target):
+        empty = stream.sparkSession.createDataFrame([], counts.schema)
+        empty.write.mode("overwrite").parquet(f"{target}/batch=-1")
 
     query = (
         counts.writeStream.outputMode("complete")
@@ -44,7 +49,21 @@ def stream_counts(stream: DataFrame, key: str, target: str, checkpoint: str, out
     query.awaitTermination()
 
 
+def _batches(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the batches whose results are whole."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    found = root.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or ())
+
+
+def read_counts(spark: SparkSession, target: str) -> DataFrame:
+    """The latest result that ``stream_counts`` has kept at ``target``."""
+    return spark.read.parquet(f"{target}/batch={_batches(spark, target)[-1]}")
+
+
 def count_files_as_stream(spark: SparkSession, path: str, schema: T.StructType, key: str, out: str = "n") -> DataFrame:
     target = scratch_path(spark, "stream-counts")
     stream_counts(stream_files(spark, path, schema), key, target, scratch_path(spark, "stream-state"), out)
-    return spark.read.parquet(target)
+    return read_counts(spark, target)

@@ -5,7 +5,7 @@ import pytest
 from rillway.plans import jobs, layouts
 from rillway.sources.delimited import read_delimited
 from rillway.sources.fields import Field
-from rillway.streaming.counts import count_files_as_stream, stream_counts, stream_files
+from rillway.streaming.counts import count_files_as_stream, read_counts, stream_counts, stream_files
 
 
 def csv(folder, name, header, *lines):
@@ -153,8 +153,24 @@ def test_stream_counts_over_several_batches_and_restart(spark, rows, tmp_path):
     stream = lambda: stream_files(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
     target, state = str(tmp_path / "counts"), str(tmp_path / "state")
     stream_counts(stream(), "kind", target, state)
-    assert rows(spark.read.parquet(target)) == [("a", 2), ("b", 1)]
+    assert rows(read_counts(spark, target)) == [("a", 2), ("b", 1)]
     spark.createDataFrame([("c",), ("a",)], "kind STRING").write.mode("append").parquet(folder)
     stream_counts(stream(), "kind", target, state)
-    assert rows(spark.read.parquet(target)) == [("a", 3), ("b", 1), ("c", 1)]
+    assert rows(read_counts(spark, target)) == [("a", 3), ("b", 1), ("c", 1)]
     assert rows(count_files_as_stream(spark, folder, spark.read.parquet(folder).schema, "kind")) == [("a", 3), ("b", 1), ("c", 1)]
+
+
+def test_a_job_may_write_over_its_input(spark, tmp_path, rows):
+    path = str(tmp_path / "orgs")
+    names = [f.name for f in jobs.FILE_JOBS["industry_report"].inputs["orgs_input"][1]]
+    source = spark.createDataFrame([tuple("7" for _ in names)], ", ".join(f"`{n}` STRING" for n in names))
+    jobs.write_delimited(source, path)
+    first = rows(jobs.run_file_job(spark, "industry_report", orgs_input=path, output_csv=str(tmp_path / "out")))
+    again = rows(jobs.run_file_job(spark, "industry_report", orgs_input=path, output_csv=path))
+    assert first == again
+
+
+def test_counts_of_an_empty_folder(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    schema = spark.range(1).schema
+    assert count_files_as_stream(spark, str(tmp_path / "none"), schema, "id").collect() == []

@@ -12,12 +12,12 @@ from rillway.plans.catalogue import ORACLES, QUERIES
 SF_DIR = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
-# Python runs in these plans only: documents of any depth, ordered diffs.
-PYTHON = {"q_xml_inventory", "q_element_sets", "q_spec_complexity", "w_document_report", "q_quality_summary", "q_line_diff"}
+# Python runs in these plans only: documents of any depth.
+PYTHON = {"q_xml_inventory", "q_element_sets", "q_spec_complexity", "w_document_report", "q_quality_summary"}
 # One row in all, or offsets of partitions, of which there are as many as shuffle partitions.
 SINGLE = {"q_quality_summary"} | {
     name for name in QUERIES if name.startswith("q_sort") or name in
-    ("q_group_sorted", "w_sort_people", "w_count_by_title", "w_active_suppliers")
+    ("q_group_sorted", "q_limit", "w_sort_people", "w_count_by_title", "w_active_suppliers")
 }
 
 

@@ -114,6 +114,15 @@ def test_pairing_flags_unmatched_rows(spark, rows):
     assert pair_documents(left, right, "stem").filter("had_existing").count() == 0
 
 
+def test_salts_spread_equal_rows_and_rows_without_a_key(spark):
+    left = spark.range(0, 10_000, 1, 2).select(F.when(F.col("id") % 2 == 0, 1).alias("k"), F.lit("same").alias("v"))
+    right = spark.createDataFrame([(1, "r")], "k INT, w STRING")
+    joined = salted_join(left, right, "k", "left", share=0.1, copies=16)
+    assert joined.count() == 10_000 and joined.filter("w = 'r'").count() == 5_000
+    with pytest.raises(ValueError, match="share"):
+        salted_join(left, right, "k", share=0)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, rows, how):
     rng = random.Random(7)
@@ -156,6 +165,19 @@ def test_sorting(people):
     assert ids(top_rows(people, [("n", "desc")], 2)) == [3, 2]
 
 
+def test_equal_keys_spread_over_ranges_and_ties_are_settled(spark):
+    df = spark.range(0, 200_000, 1, 4).withColumn("k", F.lit(7))
+    top = [[r.id for r in top_rows(df.repartition(p), ["k"], n).collect()] for p in (3, 5) for n in (10, 150_000)]
+    assert top[0] == top[2] and top[1] == top[3] and top[1][:10] == top[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = rank_rows(df, ["k"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranked.select("rn").distinct().count() == 200_000
+    assert len(ranked.inputFiles()) > 4
+
+
 @pytest.mark.parametrize("within", [(), ("g",)])
 def test_ranks_equal_brute_force_with_a_hot_group(spark, within):
     rng = random.Random(3)

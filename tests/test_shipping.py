@@ -5,7 +5,6 @@ import sys
 
 from pyspark import cloudpickle
 
-from rillway.operators.line_diff import _changes
 from rillway.operators.spec_documents import _facts
 
 
@@ -22,4 +21,3 @@ def run_elsewhere(fn, *args, cwd):
 
 def test_helpers_run_without_the_package(tmp_path):
     assert "'parsed': True" in run_elsewhere(_facts, "<a><step/></a>", cwd=tmp_path)
-    assert "DIFF_INSERT" in run_elsewhere(_changes, "a", "b", cwd=tmp_path)

@@ -113,8 +113,28 @@ def test_partitioned_and_single_file_output(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "p").glob("part=*")) == ["part=0", "part=1"]
     write_single_file(df.repartition(4), str(tmp_path / "one"))
     assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1
-    with pytest.raises(ValueError, match="too many"):
-        write_single_file(df, str(tmp_path / "two"), max_rows=5)
+
+
+def test_every_value_comes_back(spark, tmp_path, rows):
+    values = ["a\nb", "c\rd", "e\r\nf", "", None, '"', '","', "\\", "\\n", " x ", "\t", '""', "\n", "é\u2028z", "'", "#", "null"]
+    df = spark.createDataFrame(list(enumerate(values)), "k LONG, v STRING").withColumn("w", F.col("v"))
+    path = str(tmp_path / "all")
+    write_delimited(df.repartition(3), path)
+    fields = [Field("k", "long"), Field("v", trim="none"), Field("w", trim="none")]
+    assert rows(read_delimited(spark, path, fields, empty_text=True)) == rows(df)
+    as_null = rows(df.replace("", None))
+    assert rows(read_delimited(spark, path, fields)) == as_null
+
+
+def test_each_file_has_its_own_header(spark, tmp_path, rows):
+    put(tmp_path / "in" / "a.csv", "id,name\n1,x\n")
+    put(tmp_path / "in" / "b.csv", "name,extra,id\ny,?,2\n")
+    put(tmp_path / "in" / "c.csv", "id,name\n3,z\n")
+    put(tmp_path / "in" / "d.csv", "")
+    df = read_delimited(spark, str(tmp_path / "in"), [Field("id", "long"), Field("name")])
+    assert rows(df) == [(1, "x"), (2, "y"), (3, "z")]
+    only = read_delimited(spark, str(tmp_path / "in"), [Field("id", "long")], exclude="b.csv")
+    assert rows(only) == [(1,), (3,)]
 
 
 def test_overwriting_the_source(spark, tmp_path, rows):
@@ -181,7 +201,9 @@ def test_catalog_table_and_parameters(spark, rows):
 
 def test_jdbc_options():
     url = "jdbc:x:y"
-    assert jdbc_query_options(url, "SELECT 1")["query"] == "SELECT 1"
+    assert jdbc_query_options(url, "SELECT 1", limit=5)["query"] == "SELECT * FROM (SELECT 1) src FETCH FIRST 5 ROWS ONLY"
+    with pytest.raises(ValueError, match="partition column"):
+        jdbc_query_options(url, "SELECT 1")
     parted = jdbc_query_options(url, "SELECT id FROM t", partition_column="id", lower=0, upper=9, partitions=3)
     assert parted["dbtable"] == "(SELECT id FROM t) src" and parted["numPartitions"] == "3" and "query" not in parted
     with pytest.raises(ValueError):
@@ -210,7 +232,7 @@ def test_jdbc_reader_and_writer_calls():
         read = Recorder()
 
     read_query(Session, "jdbc:x", "SELECT 1", limit=7)
-    assert [c[0] for c in Session.read.calls] == ["format", "options", "load", "limit"]
+    assert [c[0] for c in Session.read.calls] == ["format", "options", "load"]
 
     class Frame:
         write = Recorder()
