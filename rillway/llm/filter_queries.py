@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillway.llm import oracles
 from rillway.llm.contamination import contaminated
 from rillway.llm.quality_votes import judged
 from rillway.llm.registry import query
@@ -17,6 +18,6 @@ def op5_rule_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[f"{j}.{x}" for x in names])
 
 
-@query()
+@query(oracles.CONTAMINATION)
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

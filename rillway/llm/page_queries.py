@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillway.llm import oracles
 from rillway.llm.registry import query
 from rillway.llm.url_lists import host_of, judge_captures
 from rillway.llm.warc import read_records, record_uri, write_archives
@@ -62,7 +63,7 @@ def op3_dated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(oracles.ARCHIVES)
 def op7_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     rows = read_records(archives)
