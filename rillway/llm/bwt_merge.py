@@ -33,18 +33,24 @@ def transform(strings: list[bytes], first_number: int = 0) -> Transform:
         symbols[at : at + len(s)] = np.frombuffer(s, np.uint8).astype(np.int64) + len(strings)
     ends = bounds[1:] - 1
     symbols[ends] = np.arange(len(strings))
-    rank, n, step = symbols, len(symbols), 1
-    order = np.argsort(rank, kind="stable")
+    n = len(symbols)
+    # As many symbols as fit into 62 bits are compared first.
+    bits = (len(strings) + 256).bit_length()
+    step = 62 // bits
+    key = np.zeros(n, np.int64)
+    for i in range(step):
+        key <<= bits
+        key[: max(0, n - i)] |= symbols[i:]
     while True:
-        key = rank * (n + len(strings) + 257)
-        key[: n - step] += rank[step:] + 1
         order = np.argsort(key, kind="stable")
         fresh = np.concatenate([[0], key[order][1:] != key[order][:-1]])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh)
-        step *= 2
         if step >= DEPTH or rank[order[-1]] == n - 1:
             break
+        key = rank * (n + 1)
+        key[: max(0, n - step)] += rank[step:] + 1
+        step *= 2
     string = np.repeat(np.arange(len(strings)), size)
     place = np.arange(n) - bounds[string]
     before = np.zeros(n, np.uint16)
@@ -96,11 +102,42 @@ def merge(shards: list[Transform], depth: int = DEPTH) -> tuple[np.ndarray, np.n
     return row, common, np.arange(n) < n_strings
 
 
+def merge_repeats(shards: list[Transform], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group) of the suffixes that share ``depth`` symbols or more with another, group by group.
+
+    The same refinement as ``merge``, over rows that are not settled. A suffix that shares its first
+    k symbols with no other is settled: whatever stands before it, k + 1 symbols are shared with no
+    other either. So a round carries on only the rows before rows that still have a partner. The
+    row of the suffix one symbol longer is found in its own shard, by last-to-first mapping.
+    """
+    sizes = np.cumsum([0] + [len(t.before) for t in shards])
+    before = np.concatenate([t.before for t in shards]) if shards else np.empty(0, np.uint16)
+    longer = np.empty(len(before), np.int32)
+    for t, base in zip(shards, sizes):
+        # Rows by (string, place); the next longer suffix is the one before in the text.
+        by_text = np.lexsort((t.place, t.string))
+        longer[base + by_text[1:]] = base + by_text[:-1]
+    row, group = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int32)
+    for _ in range(depth):
+        symbol = before[row]
+        # Whole strings come first, and have no longer suffix.
+        order = np.argsort(symbol, kind="stable")[len(symbol) - np.count_nonzero(symbol) :]
+        part, rest = symbol[order], group[order]
+        begins = np.ones(len(order) + 1, bool)
+        begins[1:-1] = (part[1:] != part[:-1]) | (rest[1:] != rest[:-1])
+        shared = ~(begins[:-1] & begins[1:])
+        row = longer[row[order[shared]]]
+        group = np.cumsum(begins[:-1], dtype=np.int32)[shared]
+        if not len(row):
+            break
+    return row, group
+
+
 def repeated(strings: list[bytes], depth: int = DEPTH, shard_bytes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, string, place) of every stretch of ``depth`` bytes that stands in ``strings`` twice or more.
 
     Shards of about ``shard_bytes`` are transformed one by one and merged at once; a group is an
-    interval of the merged order in which neighbours share ``depth`` symbols or more.
+    interval of the merged order in which all share ``depth`` symbols or more.
     """
     shards, held, size, begun = [], [], 0, 0
     for i, s in enumerate(strings):
@@ -109,11 +146,7 @@ def repeated(strings: list[bytes], depth: int = DEPTH, shard_bytes: int = 1 << 1
         if size >= shard_bytes or i == len(strings) - 1:
             shards.append(transform(held, begun))
             held, size, begun = [], 0, i + 1
-    row, common, _ = merge(shards, depth)
-    joined = common >= depth
-    member = joined.copy()
-    member[:-1] |= joined[1:]
-    group = np.cumsum(~joined)[member]
+    row, group = merge_repeats(shards, depth)
     string = np.concatenate([t.string for t in shards]) if shards else np.empty(0, np.int64)
     place = np.concatenate([t.place for t in shards]) if shards else np.empty(0, np.int64)
-    return group, string[row][member], place[row][member]
+    return group, string[row], place[row]
