@@ -14,9 +14,15 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+# So many labels, at about 20 bytes, may go to every task; more are joined by a shuffle of the texts.
+BROADCAST_LABELS = 2_000_000
+
+
 def labelled_rows(spark: SparkSession, sf_dir: str, label: str, used: Column) -> DataFrame:
     """(text, label) of the rows that may be learned from."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter(used & F.col("label").isNotNull())
+    if labels.count() <= BROADCAST_LABELS:
+        labels = F.broadcast(labels)
     return table(spark, sf_dir, "documents").select("doc_id", "text").filter(used).join(labels, "doc_id").select("text", "label")
 
 
