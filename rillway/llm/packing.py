@@ -26,22 +26,27 @@ def _encoder(path: str, pattern: str):
     """Text to the bytes of its little-endian 32-bit ids.
 
     Byte-level BPE never merges across the pre-tokens that ``pattern`` finds, so ids are looked up
-    per pre-token and only new ones go to the tokenizer. A pre-token can hold a space in front of
-    another character only at its beginning, so a text without double spaces may first be cut
-    before each space, and the ids of the parts be looked up. Special tokens' strings are ordinary
-    text.
+    per pre-token and only new ones go to the tokenizer. A pre-token that holds a space behind
+    another character is white space only, so a text may first be cut before each space that follows
+    another than a white-space character, and the ids of the parts be looked up. Parts with
+    characters that Unicode versions class differently are left to the tokenizer as a whole.
     """
+    import re
+
     import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     split = regex.compile(pattern).findall
+    run = re.compile(r"\s ").search
+    cut = re.compile(r"(?<=\S)(?= )").split
+    unsure = re.compile(r"[^\0-\u0557]").search
     small: dict[str, bytes] = {}
     large: dict[str, bytes] = {}
 
     def by_tokens(texts: list[str]) -> list[bytes]:
-        parts = [split(t) for t in texts]
+        parts = [[t] if unsure(t) else split(t) for t in texts]
         if len(small) > CACHED:
             small.clear()
         new = list({p for ps in parts for p in ps if p not in small})
@@ -52,9 +57,7 @@ def _encoder(path: str, pattern: str):
         return [b"".join(map(small.__getitem__, ps)) for ps in parts]
 
     def encode(text: str) -> bytes:
-        if "  " in text or text[-1:] == " ":
-            return by_tokens([text])[0]
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+        parts = cut(text) if "\0" in text or run(text) else text.replace(" ", "\0 ").split("\0")
         new = list({p for p in parts if p not in large})
         if new:
             if len(large) > CACHED:

@@ -196,6 +196,17 @@ def test_packing_on_odd_rows(spark, encode, capacity):
     assert pack_documents(frame(spark, []).limit(0)).collect() == []
 
 
+def test_ids_are_those_of_the_whole_text(encode):
+    ids = packing._encoder(public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    runs = [" \u00a0 \u00a0 ", "\u00a0 \u00a0", "\n \n", "\t \t", " \n  x", "\r\n ", "\u2003 \u3000 ", "\x1c \x85 ", "  ", " "]
+    texts = [f"{a}{r}{b}" for r in runs for a in ("a", "", "1.", "\0") for b in ("b", "", "'s", "\0 c")]
+    texts += ["a\u0558b 1\u058b2", "\U00010940a x", "日本 語  \u3000 x"]
+    rng = random.Random(7)
+    texts += ["".join(rng.choice(" \u00a0\n\tab1é'.\0") for _ in range(40)) for _ in range(300)]
+    for text in texts:
+        assert [*np.frombuffer(ids(text), "<u4")] == encode(text)[:-1], repr(text)
+
+
 def test_packing_a_table(spark, encode):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     used, least = check_packed(rows, pack_documents(spark.read.parquet(f"{SMALL}/documents.parquet")).collect(), encode, 2048)
