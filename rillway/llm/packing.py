@@ -6,6 +6,7 @@ import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,11 @@ from rillway.sources.fields import named
 
 CAPACITY = 2048
 END_ID = 0
-# Pre-tokens, and parts between spaces, whose ids a task remembers: about 100 MB each.
+# Pre-tokens, and parts between spaces, whose ids a worker process remembers: about 100 MB each.
 CACHED = 600_000
 
 
+@cache
 def _encoder(path: str, pattern: str):
     """Text to the bytes of its little-endian 32-bit ids.
 
@@ -30,6 +32,10 @@ def _encoder(path: str, pattern: str):
     another character is white space only, so a text may first be cut before each space that follows
     another than a white-space character, and the ids of the parts be looked up. Parts with
     characters that Unicode versions class differently are left to the tokenizer as a whole.
+
+    A string of an added token inside a text is that token, as in the tokenizer's plain call; what
+    lies between such strings is encoded by itself. A worker process keeps its encoder for its next
+    tasks.
     """
     import re
 
@@ -37,16 +43,18 @@ def _encoder(path: str, pattern: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = {a.content: a for a in tokenizer.get_added_tokens_decoder().values()}
+    # With these flags a token takes in, or depends on, what stands beside it.
+    plain = not any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added.values())
+    between = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
     split = regex.compile(pattern).findall
-    run = re.compile(r"\s ").search
     cut = re.compile(r"(?<=\S)(?= )").split
     unsure = re.compile(r"[^\0-\u0557]").search
     small: dict[str, bytes] = {}
     large: dict[str, bytes] = {}
 
     def by_tokens(texts: list[str]) -> list[bytes]:
-        parts = [[t] if unsure(t) else split(t) for t in texts]
+        parts = [split(t) if t.isascii() or not unsure(t) else [t] for t in texts]
         if len(small) > CACHED:
             small.clear()
         new = list({p for ps in parts for p in ps if p not in small})
@@ -56,15 +64,28 @@ def _encoder(path: str, pattern: str):
                 small[p] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(small.__getitem__, ps)) for ps in parts]
 
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(text: str) -> bytes:
-        parts = cut(text) if "\0" in text or run(text) else text.replace(" ", "\0 ").split("\0")
-        new = list({p for p in parts if p not in large})
+        for a in added:
+            if a in text:
+                return b"".join(whole(t) if t in added else looked_up(t) for t in between(text) if t) if plain else whole(text)
+        return looked_up(text)
+
+    def looked_up(text: str) -> bytes:
+        parts = cut(text) if "\0" in text else text.replace(" ", "\0 ").split("\0")
+        new, tail = list({p for p in parts if p not in large}), b""
+        # Parts that end in white space are never remembered, so none that a cut tore goes unseen.
+        if any(p[-1:].isspace() for p in new):
+            *parts, last = cut(text)
+            new, tail = list({p for p in parts if p not in large}), by_tokens([last])[0]
         if new:
             if len(large) > CACHED:
                 large.clear()
                 new = list(set(parts))
             large.update(zip(new, by_tokens(new)))
-        return b"".join(map(large.__getitem__, parts))
+        return b"".join(map(large.__getitem__, parts)) + tail
 
     return encode
 

@@ -207,6 +207,14 @@ def test_ids_are_those_of_the_whole_text(encode):
         assert [*np.frombuffer(ids(text), "<u4")] == encode(text)[:-1], repr(text)
 
 
+def test_strings_of_added_tokens_are_these_tokens(encode):
+    ids = packing._encoder(public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    end = "<|endoftext|>"
+    assert 50256 in encode(end)
+    for text in (end, f"a {end} b", f"{end}{end}x", f" {end}  y\u00a0 {end} ", f"<|{end}|>", "<|endoftext| >"):
+        assert [*np.frombuffer(ids(text), "<u4")] == encode(text)[:-1], repr(text)
+
+
 def test_packing_a_table(spark, encode):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     used, least = check_packed(rows, pack_documents(spark.read.parquet(f"{SMALL}/documents.parquet")).collect(), encode, 2048)
