@@ -53,6 +53,20 @@ def test_features_are_the_runs_and_words_of_a_text():
     assert len(found[0]) == 11 and len(found[3]) == 7
 
 
+def test_very_long_texts_do_not_fill_the_features(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60_000)]
+    some = [(" ".join(rng.choices(vocabulary[:500], k=60)) + (" vile scum" * 3 if i % 2 else ""), 1 - i % 2) for i in range(200)]
+    model, square = quality_classifier.fit(spark.createDataFrame(some, "text string, label int"), "text", "label")
+    long = [" ".join(rng.choices(vocabulary[500:], k=700_000)) for _ in range(2)]
+    texts = [long[0] + " vile scum", long[0], long[1]]
+    assert all(len(t) > 4 << 20 for t in texts)
+    features = [f for _, rows in quality_classifier.indicators(pa.array(texts)) for f in rows]
+    assert all(len(f) < 0.5 * (1 << quality_classifier.BITS) for f in features)
+    got = quality_classifier._margins(features, model.weights, square)
+    assert got[0] < got[1] and got[1] != got[2]
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((60, 4))
