@@ -159,25 +159,36 @@ def calibrate(margins: np.ndarray, positive: np.ndarray, rounds: int = 200) -> t
 
 
 def bounded_sample(rows: DataFrame, most: int, most_bytes: int = FIT_BYTES) -> list[str]:
-    """At most ``most`` different texts of ``most_bytes`` together, at least one: those of the smallest hashes."""
-    picked, size = [], 0
-    for r in rows.select(F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes")).distinct().orderBy("h").limit(most).collect():
-        size += r.bytes
-        if size > most_bytes and picked:
-            break
-        picked.append(r.h)
+    """At most ``most`` different texts of ``most_bytes`` together, in the order of their hashes.
+
+    A text that does not fit what is left of the bytes is passed over. If none fits, the shortest is taken.
+    """
+    sizes = rows.select(F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes")).distinct()
+    picked, left, last, seen = [], most_bytes, None, most
+    while len(picked) < most and seen == most:
+        # Each turn begins behind the last one's rows, with those that still fit.
+        some = sizes.filter(F.col("bytes") <= left)
+        found = (some if last is None else some.filter(F.col("h") > last)).orderBy("h").limit(most).collect()
+        seen = len(found)
+        for r in found:
+            last = r.h
+            if r.bytes <= left and len(picked) < most:
+                picked.append(r.h)
+                left -= r.bytes
+    if not picked:
+        picked = [r.h for r in sizes.orderBy("bytes", "h").limit(1).collect()]
     if not picked:
         return []
-    texts = rows.filter(F.xxhash64("text") <= picked[-1]).select("text").distinct()
+    texts = rows.filter(F.xxhash64("text").isin(picked)).select("text").distinct()
     return [r.text for r in texts.orderBy(F.xxhash64("text")).limit(len(picked)).collect()]
 
 
-def fit(labelled: DataFrame, text_col: str, label_col: str, *, bits: int = BITS, fit_texts: int = FIT_TEXTS, cost: float = 1.0) -> tuple[Model, np.ndarray]:
+def fit(labelled: DataFrame, text_col: str, label_col: str, *, bits: int = BITS, fit_texts: int = FIT_TEXTS, fit_bytes: int = FIT_BYTES, cost: float = 1.0) -> tuple[Model, np.ndarray]:
     """The model of rows (text, label 0 or 1), and the squares of the log-count ratios.
 
     Log-count ratios come from all labelled rows. The linear model is fitted on the driver, on at
-    most ``fit_texts`` rows, the half of them for each label, and FIT_BYTES of text for each: those
-    with the smallest hashes of their text, so the sample does not depend on how rows lie. Both
+    most ``fit_texts`` rows, the half of them for each label, and ``fit_bytes`` of text for each: those
+    with the smallest hashes of their text that fit, so the sample does not depend on how rows lie. Both
     labels have the same total cost. Its probabilities are calibrated on a fifth of the sample that
     an earlier fit did not see, weighted back to the labels' shares.
     """
@@ -188,7 +199,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, *, bits: int = BITS,
     counted = rows.mapInArrow(_counted(bits), "feature int, negative long, positive long")
     ratios, texts_of = log_ratios(counted, bits)
     square = ratios**2
-    sample = [(label, text) for label in (0, 1) for text in bounded_sample(rows.filter(F.col("label") == label), fit_texts // 2)]
+    sample = [(label, text) for label in (0, 1) for text in bounded_sample(rows.filter(F.col("label") == label), fit_texts // 2, fit_bytes)]
     if len({label for label, _ in sample}) < 2:
         share = (sum(label for label, _ in sample) + 1) / (len(sample) + 2)
         return Model(np.zeros(1 << bits), 0.0, 1.0, float(np.log(share / (1 - share))), bits), square

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillway.llm.quality_classifier import bounded_sample, calibrate
+from rillway.llm.quality_classifier import FIT_BYTES, bounded_sample, calibrate
 from rillway.llm.word_arrays import Rolling, Words, byte_values, mix, split_words
 from rillway.session import scratch_path
 from rillway.sources.fields import named
@@ -357,11 +357,11 @@ class Detector:
     empty: float
 
 
-def fit(labelled: DataFrame, text_col: str, label_col: str, *, fit_texts: int = FIT_TEXTS) -> Detector:
+def fit(labelled: DataFrame, text_col: str, label_col: str, *, fit_texts: int = FIT_TEXTS, fit_bytes: int = FIT_BYTES) -> Detector:
     """A detector from rows (text, label 0 or 1).
 
-    Trained on the driver on at most ``fit_texts`` texts, the half of them for each label and 8 MB
-    for each, taken by the smallest hashes of the text. A fifth of them is set aside to turn a text's
+    Trained on the driver on at most ``fit_texts`` texts, the half of them for each label and
+    ``fit_bytes`` for each, taken by the smallest hashes of the texts that fit. A fifth of them is set aside to turn a text's
     highest log-odds into a probability, at the labels' shares in all labelled rows. Without texts
     of both labels every text gets the share of label 1.
     """
@@ -370,7 +370,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, *, fit_texts: int =
     rows.filter("text IS NOT NULL AND label IN (0, 1)").write.parquet(path)
     rows = labelled.sparkSession.read.parquet(path)
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    sample = [(label, text) for label in (0, 1) for text in bounded_sample(rows.filter(F.col("label") == label), fit_texts // 2)]
+    sample = [(label, text) for label in (0, 1) for text in bounded_sample(rows.filter(F.col("label") == label), fit_texts // 2, fit_bytes)]
     all_odds = float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)))
     label = np.array([x for x, _ in sample])
     if len(set(label)) < 2:

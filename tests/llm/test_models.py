@@ -67,6 +67,17 @@ def test_very_long_texts_do_not_fill_the_features(spark):
     assert got[0] < got[1] and got[1] != got[2]
 
 
+def test_one_very_long_text_does_not_end_the_sample(spark):
+    short, long = [f"text {i}" for i in range(40)], ["long " * (50 + i) for i in range(40)]
+    rows = spark.createDataFrame([(t,) for t in short + long], "text string")
+    picked = quality_classifier.bounded_sample(rows, 100, 600)
+    assert sum(map(len, picked)) <= 600 and len(picked) == len(set(picked)) and sum(t in short for t in picked) > 20
+    # All short ones fit when no long one does, however few rows a turn looks at.
+    assert sorted(quality_classifier.bounded_sample(rows, 100, 240)) == sorted(quality_classifier.bounded_sample(rows.filter("length(text) < 50"), 100, 240))
+    assert len(quality_classifier.bounded_sample(rows, 7, 240)) == 7
+    assert quality_classifier.bounded_sample(rows.filter("length(text) > 50"), 7, 10) == [long[0]]
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((60, 4))
