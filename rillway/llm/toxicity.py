@@ -15,6 +15,7 @@ from rillway.session import scratch_path
 from rillway.sources.fields import named
 
 WINDOW = 32
+# Windows to learn from begin so many words apart; scores come from windows at every word.
 STEP = 16
 # Words of fewer training texts share one vector.
 MIN_TEXTS = 5
@@ -242,11 +243,11 @@ def window_odds(net: Network, t: Tokens, begin: np.ndarray, length: np.ndarray)
 
 
 def text_odds(net: Network, texts: pa.Array, empty: float) -> np.ndarray:
-    """The highest log-odds of each text's windows; ``empty`` without a word."""
+    """The highest log-odds of all windows of each text, at every word; ``empty`` without a word."""
     out = np.full(len(texts), empty, np.float32)
     for words in split_words(texts):
         t = tokens(words)
-        text, begin, length = windows_of(words)
+        text, begin, length = windows_of(words, step=1)
         if len(text):
             odds = window_odds(net, t, begin, length)
             top = np.full(len(words.first) - 1, -np.inf, np.float32)
@@ -388,7 +389,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, *, fit_texts: int =
 def score(docs: DataFrame, detector: Detector, text_col: str = "text", out: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` and the probability, between 0 and 1, that a text is toxic.
 
-    All windows of 32 words, 16 words apart, of the whole text are scored; the highest counts. A null
+    All windows of 32 words of the whole text, one from each word, are scored; the highest counts. A null
     or blank text gets the lowest score seen when the detector was fitted. Each row is scored by
     itself, so repeated rows score alike; an empty table stays empty.
     """

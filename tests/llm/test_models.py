@@ -153,6 +153,17 @@ def test_windows_cover_all_words_and_overlap():
         assert covered == list(range(n)) and all(np.diff(mine[0]) <= toxicity.STEP)
 
 
+def test_scores_are_the_highest_of_windows_at_every_word():
+    rng = random.Random(6)
+    texts = [prose(rng, n) for n in (5, 32, 33, 47, 48, 90, 200)]
+    net = toxicity.Network.new(np.random.default_rng(2), next(toxicity.split_words(pa.array(texts))).hashes()[:20])
+    got = toxicity.text_odds(net, pa.array(texts), 0.0)
+    for text, odds in zip(texts, got):
+        w = text.split()
+        alone = [" ".join(w[i : i + toxicity.WINDOW]) for i in range(max(1, len(w) - toxicity.WINDOW + 1))]
+        assert abs(toxicity.text_odds(net, pa.array(alone), 0.0).max() - odds) < 1e-4
+
+
 def brute_stages(spark, rows, items):
     """(id, text) after each stage but the last; the rules' verdicts are taken from the operator."""
     verdict, name = quality_votes.judged(spark.createDataFrame(rows, "doc_id long, text string"))
