@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillway.llm.disclosure import KINDS, TERM, listed, sanitise
 from rillway.llm.fill_in_middle import fill_in_middle, restore
 from rillway.llm.registry import query
 from rillway.sources.tables import read_folder_table as table
@@ -34,3 +35,14 @@ def op13_boundary_set(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
         digest(F.col("output"), "output_sha256"), digest(restore(F.col("form"), F.col("output")), "restored_sha256"),
     )
+
+
+@query()
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sanitise(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != TERM)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        F.col("id").alias("doc_id"), *[count(kind) for kind in KINDS],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
