@@ -1,3 +1,4 @@
+import difflib
 import random
 import re
 from itertools import accumulate
@@ -131,35 +132,146 @@ def test_code_extraction_against_brute_force(spark):
         assert code == code_by_hand(text), repr(text)
 
 
+def in_order(pairs):
+    """Of (i, j) pairs the longest increasing ones, by quadratic search; each goes on with the earliest that can."""
+    pairs = sorted(pairs)
+    reach = [1] * len(pairs)
+    for k in range(len(pairs) - 1, -1, -1):
+        reach[k] += max((reach[m] for m in range(k + 1, len(pairs)) if pairs[m][1] > pairs[k][1]), default=0)
+    need, last, out = max(reach, default=0), -1, []
+    for (i, j), r in zip(pairs, reach):
+        if r == need and j > last:
+            out.append((i, j))
+            need, last = need - 1, j
+    return out
+
+
+def kept_by_hand(old, new):
+    """Pairs of lines that stay: those that occur once, then between them the n-th copy with the n-th copy."""
+    head = next((k for k, (x, y) in enumerate(zip(old, new)) if x != y), min(len(old), len(new)))
+    tail = 0
+    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    ends = [(head - 1, head - 1), (len(old) - tail, len(new) - tail)]
+
+    def between(kept):
+        for (i, j), (i2, j2) in zip(sorted([*kept, *ends]), sorted([*kept, *ends])[1:]):
+            yield range(i + 1, i2), range(j + 1, j2)
+
+    def matched(rows, cols, unique):
+        seen = [{}, {}]
+        for side, text, places in ((0, old, rows), (1, new, cols)):
+            for k in places:
+                seen[side].setdefault(text[k], []).append(k)
+        for line, places in seen[0].items():
+            others = seen[1].get(line, [])
+            if not unique or len(places) == len(others) == 1:
+                yield from zip(places, others)
+
+    kept = in_order(matched(range(head, len(old) - tail), range(head, len(new) - tail), True))
+    kept += [p for rows, cols in between(kept) for p in in_order(matched(rows, cols, False))]
+    same = [(k, k) for k in range(head)] + [(len(old) - k, len(new) - k) for k in range(1, tail + 1)]
+    return sorted(kept + same)
+
+
 def diff_by_hand(before, after):
-    """Lines whose copy of the same number is missing on the other side."""
-    sides = []
-    for text in (before, after):
-        seen, lines = {}, []
-        for pos, line in enumerate(text.splitlines()):
-            seen[line] = seen.get(line, 0) + 1
-            lines.append((line, seen[line], pos))
-        sides.append(lines)
-    pairs = [{(line, n) for line, n, _ in side} for side in sides]
-    rows = [(pos, "DIFF_DELETE", line, "") for line, n, pos in sides[0] if (line, n) not in pairs[1]]
-    return sorted(rows + [(pos, "DIFF_INSERT", "", line) for line, n, pos in sides[1] if (line, n) not in pairs[0]])
+    """Rows of the differences, with the hunks that difflib makes of the lines that stay."""
+    old, new = before.splitlines(), after.splitlines()
+    codes, i, j = [], 0, 0
+    for a, b in [*kept_by_hand(old, new), (len(old), len(new))]:
+        if a > i or b > j:
+            codes.append(("replace" if a > i and b > j else "delete" if a > i else "insert", i, a, j, b))
+        if a < len(old) and codes and codes[-1][0] == "equal":
+            codes[-1] = ("equal", codes[-1][1], a + 1, codes[-1][3], b + 1)
+        elif a < len(old):
+            codes.append(("equal", a, a + 1, b, b + 1))
+        i, j = a + 1, b + 1
+    matcher = difflib.SequenceMatcher(None, old, new)
+    matcher.opcodes = codes
+    rows, span = [], lambda a, b: f"{a + 1}" if b - a == 1 else f"{a},0" if a == b else f"{a + 1},{b - a}"
+    for hunk, group in enumerate(matcher.get_grouped_opcodes(3), 1):
+        (_, a, _, b, _), (_, _, c, _, d) = group[0], group[-1]
+        rows.append((hunk, a, "HUNK", "", f"@@ -{span(a, c)} +{span(b, d)} @@"))
+        for tag, i1, i2, j1, j2 in group:
+            if tag != "equal":
+                rows += [(hunk, k, "DIFF_DELETE", old[k], "") for k in range(i1, i2)]
+                rows += [(hunk, k, "DIFF_INSERT", "", new[k]) for k in range(j1, j2)]
+    return [] if len(codes) == 1 and codes[0][0] == "equal" else rows
+
+
+def patched(before, rows):
+    """The text that the rows make of ``before``, by their positions alone."""
+    lines = before.splitlines()
+    gone = {pos for _, pos, rule, *_ in rows if rule == "DIFF_DELETE"}
+    out = [line for k, line in enumerate(lines) if k not in gone]
+    for _, pos, rule, _, line in rows:
+        if rule == "DIFF_INSERT":
+            out.insert(pos, line)
+    return out
+
+
+def common_length(old, new):
+    best = [0] * (len(new) + 1)
+    for x in old:
+        before = best[:]
+        for j, y in enumerate(new):
+            best[j + 1] = before[j] + 1 if x == y else max(best[j], before[j + 1])
+    return best[-1]
+
+
+def edited_texts():
+    rng = random.Random(11)
+    yield from [
+        ("a\nb\nc", "a\nc\nd"), ("same", "same"), (None, "++x\n--y"), ("x", None), ("", ""), (None, None), ("a\na\nb\na", "a\nb"),
+        ("\n".join(["x"] * 300 + ["y"]), "\n".join(["x"] * 250 + ["z", "x"])), ("a\n", "a"), ("a\r\nb", "a\nb"), ("\n\n\n", "\n"),
+    ]
+    for n in range(60):
+        lines = [f"line {rng.randint(0, 8 if n % 2 else 10**6)}" for _ in range(rng.randint(0, 60))]
+        other = [x for x in lines if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 6)):
+            place = rng.randint(0, len(other))
+            how = rng.random()
+            if how < 0.5:
+                other.insert(place, f"new {rng.randint(0, 3 if n % 2 else 10**6)}")
+            else:
+                block = other[place : place + rng.randint(1, 8)]
+                del other[place : place + len(block)]
+                at = rng.randint(0, len(other))
+                other[at:at] = block
+        yield "\n".join(lines), "\n".join(other)
+    shuffled = [str(i) for i in range(400)]
+    rng.shuffle(shuffled)
+    yield "\n".join(map(str, range(400))), "\n".join(shuffled)
 
 
 def test_line_diff_rows(spark):
-    texts = [
-        ("a\nb\nc", "a\nc\nd"), ("same", "same"), (None, "++x\n--y"), ("x", None), ("", ""), ("a\na\nb\na", "a\nb"),
-        ("\n".join(["x"] * 300 + ["y"]), "\n".join(["x"] * 250 + ["z", "x"])), ("a\n", "a"),
-    ]
-    df = spark.createDataFrame([(i, b, a) for i, (b, a) in enumerate(texts)], "k INT, b STRING, a STRING")
+    texts = list(edited_texts())
+    df = spark.createDataFrame([(i, b, a) for i, (b, a) in enumerate(texts)], "k INT, b STRING, a STRING").repartition(4)
     diff = line_diff(df, "k", "b", "a")
     got = {}
     for r in diff.collect():
-        got.setdefault(r.k, []).append((r.pos, r.rule, r.before, r.after))
-    want = {i: diff_by_hand(b or "", a or "") for i, (b, a) in enumerate(texts)}
-    assert {i: sorted(r) for i, r in got.items()} == {i: rows for i, rows in want.items() if rows}
+        got.setdefault(r.k, []).append((r.seq, r.hunk, r.pos, r.rule, r.before, r.after))
+    for k, (before, after) in enumerate(texts):
+        rows = [r[1:] for r in sorted(got.get(k, []))]
+        before, after = before or "", after or ""
+        assert rows == diff_by_hand(before, after), (before, after)
+        assert patched(before, rows) == after.splitlines()
+        old, new = before.splitlines(), after.splitlines()
+        if len(set(old)) == len(old) and len(set(new)) == len(new):
+            assert sum(r[2] == "DIFF_DELETE" for r in rows) == len(old) - common_length(old, new)
     assert "Python" not in diff._jdf.queryExecution().executedPlan().toString()
 
 
+def test_line_diff_keeps_rows_of_one_key_apart(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (None, "x", "y"), (None, "x", "y")], "k INT, before STRING, after STRING")
+    rows = [(r.k, r.rule, r.before, r.after) for r in line_diff(df, "k", "before", "after").collect() if r.rule != "HUNK"]
+    assert sorted(rows, key=repr) == sorted(
+        [(1, "DIFF_DELETE", "a", ""), (1, "DIFF_INSERT", "", "b"), (1, "DIFF_DELETE", "a", ""), (1, "DIFF_INSERT", "", "c")]
+        + [(None, "DIFF_DELETE", "x", ""), (None, "DIFF_INSERT", "", "y")] * 2, key=repr,
+    )
+    assert line_diff(df.limit(0), "k", "before", "after").collect() == []
+
+
 def test_token_blocks_cover_the_whole_text(spark):
     texts = odd_texts(150, seed=2) + [" ".join(f"w{i}" for i in range(n)) for n in (1, 3, 4, 5, 8, 9, 1000)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
