@@ -56,12 +56,55 @@ def rank_rows(
     Here the rows are range-partitioned on groups and keys, so that a large group is spread over
     many partitions, and numbered by partition. ``count_out`` also adds the size of the group.
     """
+    return _numbered(_in_ranges(df, keys, within, case_sensitive), within, out, count_out)
+
+
+def _in_ranges(df: DataFrame, keys: Sequence[SortKey], within: Sequence[str], case_sensitive: bool) -> DataFrame:
     order = [named(c).asc() for c in within] + sort_keys(df, keys, case_sensitive)
     # Ranges may cut through rows with equal keys, by their hash and place, so no key is a hot range.
     ties = df.withColumn("_tie", F.struct(row_hash(df), _position()))
     cut = [*order, F.col("_tie").asc()]
-    placed = ties.repartitionByRange(*cut).sortWithinPartitions(*cut).drop("_tie")
-    return _numbered(placed, within, out, count_out)
+    return ties.repartitionByRange(*cut).sortWithinPartitions(*cut).drop("_tie")
+
+
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[SortKey],
+    totals: dict[str, Column],
+    *,
+    within: Sequence[str] = (),
+    case_sensitive: bool = True,
+) -> DataFrame:
+    """Sums of each row and all before it, over all rows or within groups; end ``keys`` in a unique one.
+
+    ``totals`` gives the summed value by output name; nulls add nothing. A window over the table, or over a hot
+    group, would send all of its rows to one task. Here groups and keys are cut into ranges, as in ``rank_rows``;
+    each range is summed up by itself, and what lies before it comes from one row per group and range.
+    """
+    numbers = {out: f"_v{i}" for i, out in enumerate(totals)}
+    valued = df.withColumns({numbers[out]: F.coalesce(value, F.lit(0)) for out, value in totals.items()})
+    path = scratch_path(df.sparkSession, "running")
+    ranged = _in_ranges(valued, keys, within, case_sensitive)
+    ranged.withColumn("_part", F.spark_partition_id()).withColumn("_pos", _position()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    group = [named(c) for c in within]
+    so_far = Window.partitionBy(*group, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({f"_s{v}": F.sum(v).over(so_far) for v in numbers.values()})
+    pieces = placed.groupBy(*group, "_part").agg(*[F.sum(v).alias(v) for v in numbers.values()])
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(
+        *[c.alias(f"_g{i}") for i, c in enumerate(group)],
+        F.col("_part").alias("_opart"),
+        *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_o{v}") for v in numbers.values()],
+    )
+    match = summed["_part"] == offsets["_opart"]
+    for i, c in enumerate(group):
+        match = match & c.eqNullSafe(F.col(f"_g{i}"))
+    # Without groups there is one row per partition, a number set by configuration and not by data.
+    joined = summed.join(offsets if within else F.broadcast(offsets), match)
+    return joined.select(
+        *[named(c) for c in df.columns], *[(F.col(f"_s{v}") + F.col(f"_o{v}")).alias(out) for out, v in numbers.items()]
+    )
 
 
 def _numbered(df: DataFrame, within: Sequence[str], out: str, count_out: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillway.functions.binding import let
 from rillway.functions.text import count_lines, strip
 from rillway.operators.arrays import rows_of
 from rillway.sources.fields import named
@@ -99,9 +100,64 @@ def with_facts(docs: DataFrame, xml: str = "xml") -> DataFrame:
     return docs.withColumn("_facts", spec_facts(named(xml)))
 
 
+# Stands for the text of an empty element; never text itself.
+_NO_TEXT = "\ufdd0"
+# The root put around a document; one that holds its end does not parse.
+_ROOT = "whole-document"
+
+
+def _readable(xml: Column) -> Column:
+    """The document inside a root of our own, with a mark in empty names and types; null if it does not parse.
+
+    ``xpath`` fails on text that is not well-formed, so that is found out first. As ``from_xml`` stops after the
+    root element, it is given one that ends where the document does.
+    """
+    body = F.regexp_replace(xml, r"^\x{FEFF}?(<\?xml\s[^>]*\?>)?", "")
+    marked = F.regexp_replace(body, r"<(name|type)(\s[^<>]*)?(/>|></\1\s*>)", f"<$1>{_NO_TEXT}</$1>")
+    whole = F.concat(F.lit(f"<{_ROOT}>"), marked, F.lit(f"</{_ROOT}>"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = F.from_xml(whole, "_bad STRING, _none STRING", options)
+    one_root = F.xpath_boolean(whole, F.lit("count(/*/*) = 1 and not(/*/text()[normalize-space()])"))
+    closed = F.contains(body, F.lit(f"</{_ROOT}"))
+    return F.when(parsed.isNotNull() & parsed["_bad"].isNull() & ~closed, F.when(one_root, whole))
+
+
+def _child_texts(xml: Column, steps: str, tag: str, missing: str) -> Column:
+    """The text of a child of each step. In document order, ``xpath`` gives a null for a step, then its child's text."""
+    path = f"{steps} | {steps}/{tag}[1]/text()[not(preceding-sibling::*)]"
+
+    def texts(found: Column) -> Column:
+        def of_steps(starts: Column) -> Column:
+            def one(start: Column, number: Column) -> Column:
+                end = F.coalesce(F.get(starts, number + 1), F.size(found))
+                text = F.array_join(F.slice(found, start + 2, end - start - 1), "")
+                return F.when(end == start + 1, F.lit(missing)).when(text != _NO_TEXT, text)
+
+            return F.transform(starts, one)
+
+        return let(F.filter(F.transform(found, lambda _, k: k), lambda k: F.get(found, k).isNull()), of_steps)
+
+    return let(F.xpath(xml, F.lit(path)), texts)
+
+
 def step_inventory(docs: DataFrame, key: str = "file", xml: str = "xml") -> DataFrame:
-    """One row per step at any depth; a document that does not parse gives none."""
-    return rows_of(with_facts(docs, xml), key, F.col("_facts.steps"), item="step").select(named(key), "step.*")
+    """One row per step at any depth; a document that does not parse gives none.
+
+    Steps of one depth of nesting are read at a time, as a path can tell them from steps inside them.
+    Documents with a document type definition, and those whose names have an undeclared entity, do not parse.
+    """
+    readable = docs.select(named(key), _readable(named(xml)).alias("_xml")).filter("_xml IS NOT NULL")
+    depths = 1
+    while not readable.filter(F.xpath_boolean("_xml", F.lit("boolean(" + "//step" * (depths + 1) + ")"))).isEmpty():
+        depths += 1
+    found = []
+    for depth in range(depths):
+        steps = f"/{_ROOT}/*//step[count(ancestor::step) = {depth}]"
+        found.append(F.arrays_zip(
+            _child_texts(F.col("_xml"), steps, "name", "UnknownStep").alias("name"),
+            _child_texts(F.col("_xml"), steps, "type", "UnknownType").alias("type"),
+        ))
+    return rows_of(readable, key, F.concat(*found), item="step").select(named(key), "step.*")
 
 
 def _sorted_set(items: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillway.functions.numbers import calc_round, literal, money, safe_divide, stamp_text, years_since
 from rillway.operators.aggregates import agg_text, attach_groups, avg_of, count_rows, group_by, group_stats, sum_of
 from rillway.operators.joins import equi_join, pair_documents, salted_join
-from rillway.operators.ordering import latest_per_key, rank_rows, take_rows, top_rows
+from rillway.operators.ordering import latest_per_key, rank_rows, running_totals, take_rows, top_rows
 from rillway.operators.rows import (
     above, all_of, any_of, equals, negate, passes, select_fields, split_rows, where,
 )
@@ -273,6 +273,22 @@ def q_window_group(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("c_custkey", "c_mktsegment", "n_in_group", "rn")
 
 
+@query(
+    """
+    SELECT o_orderkey, o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER p AS DOUBLE) AS running_sum,
+           CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER p AS DOUBLE) / count(*) OVER p AS running_average
+    FROM orders WINDOW p AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)
+    """
+)
+def q_window_running(spark: SparkSession, d: str) -> DataFrame:
+    """Sum and average of the orders of a priority so far: few groups, so each is a hot one."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    totals = {"total": money(F.col("o_totalprice")), "n": F.lit(1)}
+    running = running_totals(orders, ["o_orderdate", "o_orderkey"], totals, within=["o_orderpriority"])
+    total = F.col("total").cast("double")
+    return running.select("o_orderkey", "o_orderpriority", total.alias("running_sum"), (total / F.col("n")).alias("running_average"))
+
+
 @query(
     """
     SELECT o_orderkey, o_orderpriority, CAST(count(*) OVER p AS BIGINT) AS n_in_group,

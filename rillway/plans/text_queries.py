@@ -9,12 +9,12 @@ from rillway.functions.text import (
     StringOp, concat_as_text, count_lines, escape_markup, lines_of, piece, safe_name, stem_key, string_ops, unescape_markup,
 )
 from rillway.operators.cleaning import Rule, apply_rules
-from rillway.operators.code_text import extract_code
+from rillway.operators.code_text import code_lines, extract_code
 from rillway.operators.line_diff import line_diff
 from rillway.operators.line_sets import line_multiset_diff
 from rillway.operators.quality import json_summary
 from rillway.operators.spec_documents import tag_names
-from rillway.operators.token_text import pad_tokens, token_blocks, tokens_of
+from rillway.operators.token_text import corpus_blocks, pad_tokens, token_blocks, tokens_of
 from rillway.plans.registry import query, table
 from rillway.sources.fields import named
 
@@ -352,6 +352,44 @@ def q_token_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("doc_id", "block", "n_tokens", "complete", F.array_join("tokens", " ").alias("text"))
 
 
+@query(
+    f"""
+    WITH t AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents),
+         u AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM t),
+         n AS (SELECT token, row_number() OVER (ORDER BY doc_id, pos) - 1 AS place FROM u WHERE token <> '')
+    SELECT place // 128 AS block, CAST(count(*) AS INTEGER) AS n_tokens, count(*) = 128 AS complete,
+           string_agg(token, ' ' ORDER BY place) AS text
+    FROM n GROUP BY 1
+    """
+)
+def q_corpus_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 128 tokens that go on from one document to the next."""
+    blocks = corpus_blocks(table(spark, d, "documents"), "doc_id", "text")
+    return blocks.select("block", "n_tokens", "complete", F.array_join("tokens", " ").alias("text"))
+
+
+# Every 7th turn opens or closes a fence, every 5th looks like code.
+@query(
+    """
+    WITH l AS (
+      SELECT conv_id % 3 AS document, conv_id * 1000 + turn AS position,
+             CASE WHEN (conv_id * 31 + turn) % 7 = 0 THEN '  ```py' WHEN (conv_id + turn) % 5 = 0 THEN 'import ' || role ELSE text END AS line
+      FROM conversations),
+    f AS (SELECT *, sum(CASE WHEN line LIKE '  ```%' THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY position) AS fences FROM l)
+    SELECT document, position, line FROM f
+    WHERE line NOT LIKE '  ```%' AND (fences % 2 = 1 OR regexp_matches(line, '^\\s*(from |import |df|spark|withColumn|filter|join|select|col\\()'))
+    """
+)
+def q_code_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Code lines of three documents that come as rows, a third of the table each."""
+    fence, code = (F.col("conv_id") * 31 + F.col("turn")) % 7 == 0, (F.col("conv_id") + F.col("turn")) % 5 == 0
+    line = F.when(fence, "  ```py").when(code, F.concat(F.lit("import "), "role")).otherwise(F.col("text"))
+    lines = table(spark, d, "conversations").select(
+        (F.col("conv_id") % 3).alias("document"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), line.alias("line")
+    )
+    return code_lines(lines, "document", "position", "line")
+
+
 @query(
     f"""
     SELECT doc_id, array_to_string(list_resize({_TOKENS}, 128, '<pad>'), ' ') AS tokens FROM documents

@@ -1,5 +1,7 @@
 import json
+import random
 from datetime import datetime
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,45 @@ def test_step_inventory(docs, rows):
     assert rows(steps.filter("file <> 'spec'")) == [("odd", "UnknownStep", "UnknownType"), ("odd", None, "X")]
 
 
+ODD_XML = [
+    "<step><name>root</name></step>", "<a><step><type>o</type><step><name>i</name></step><name>outer</name></step></a>",
+    "<a><step><step><step><name/></step></step><name>2</name></step></a>", "<a/>\n<!-- after -->", "<a/><b/>", "<a/>text", " <a><step/></a> ",
+    "\ufeff<a><step/></a>", "<?xml version='1.0' encoding='UTF-8'?>\n<a><step><name> s <!--c-->p </name><type><![CDATA[<q>]]></type></step></a>",
+    "<a><step><name>x<b>in</b>tail</name><name>second</name><type></type></step></a>", "<a><step><name>&lt;&#65;&amp;</name></step></a>",
+    "<a><step><name a='1' /><type b='x'>t</type></step></a>", "<a x='1' x='2'/>", "<a>&bad;</a>", "<a><step><names>n</names></step></a>", "no", "", None,
+    "<a><step><name>\n</name><type> </type></step><steps><name>n</name></steps></a>", "</whole-document><whole-document>", "<a></whole-document><whole-document></a>", "</whole-document><a/><whole-document>",
+]
+
+
+def steps_by_hand(xml):
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return []
+    child = lambda step, tag, missing: missing if step.find(tag) is None else step.find(tag).text
+    return [(child(s, "name", "UnknownStep"), child(s, "type", "UnknownType")) for s in root.findall(".//step")]
+
+
+def test_step_inventory_equals_a_walk_over_the_tree(spark):
+    rng = random.Random(2)
+
+    def element(depth):
+        tag = rng.choice(["step", "group", "name", "type", "info"])
+        inner = "".join(element(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 5 and tag not in ("name", "type") else rng.choice(["", "t", " "])
+        return f"<{tag}/>" if not inner and rng.random() < 0.5 else f"<{tag}>{inner}</{tag}>"
+
+    texts = ODD_XML + [f"<r>{''.join(element(0) for _ in range(4))}</r>"[: None if i % 5 else -1] for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k INT, xml STRING")
+    found = step_inventory(df, key="k")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.k, []).append((r.name, r.type))
+    for k, text in enumerate(texts):
+        assert sorted(got.get(k, []), key=repr) == sorted(steps_by_hand(text), key=repr), text
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert step_inventory(df.limit(0), key="k").collect() == []
+
+
 def test_element_sets_as_reference(docs):
     got = by_file(element_sets(docs))
     spec = got["spec"]

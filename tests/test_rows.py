@@ -9,7 +9,7 @@ from rillway.operators.aggregates import (
 )
 from rillway.operators.joins import equi_join, hot_keys, pair_by_stem, pair_documents, salted_join
 from rillway.operators.line_sets import line_multiset_diff, union_rows
-from rillway.operators.ordering import latest_per_key, rank_rows, sort_rows, take_rows, top_rows
+from rillway.operators.ordering import latest_per_key, rank_rows, running_totals, sort_rows, take_rows, top_rows
 from rillway.operators.rows import (
     above, all_of, any_of, equals, inline_rows, negate, passes, select_fields, split_rows, where,
 )
@@ -218,3 +218,18 @@ def test_union_and_line_differences(spark, rows):
     assert rows(diff) == [
         (1, "DIFF_DELETE", "a", 1), (1, "DIFF_INSERT", "c", 1), (3, "DIFF_DELETE", "", 1), (3, "DIFF_INSERT", "z", 1),
     ]
+
+
+def test_running_totals_equal_sums_in_order(spark):
+    rng = random.Random(7)
+    table = [(i, rng.choice("aab") if i % 9 else None, rng.choice([None, 1, 2, 3]), i % 50) for i in range(3000)]
+    df = spark.createDataFrame(table, "id INT, g STRING, v INT, k INT").repartition(7)
+    totals = {"s": F.col("v"), "n": F.lit(1)}
+    for within in ((), ("g",)):
+        got = {r.id: (r.s, r.n) for r in running_totals(df, ["k", ("id", "desc")], totals, within=within).collect()}
+        sums = {}
+        for i, g, v, k in sorted(table, key=lambda r: (r[3], -r[0])):
+            s, n = sums.get(g if within else 0, (0, 0))
+            sums[g if within else 0] = (s + (v or 0), n + 1)
+            assert got[i] == sums[g if within else 0]
+    assert running_totals(df.limit(0), ["id"], totals).collect() == []

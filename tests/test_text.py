@@ -10,9 +10,9 @@ from rillway.functions.text import (
     string_ops, strip, unescape_markup,
 )
 from rillway.operators.cleaning import NO_CHANGE, PROGRAM_RULES, Rule, apply_rules, rule_notes
-from rillway.operators.code_text import CODE_STARTS, extract_code
+from rillway.operators.code_text import CODE_STARTS, code_lines, extract_code
 from rillway.operators.line_diff import line_diff
-from rillway.operators.token_text import next_turn, pad_tokens, prompt_dataset, token_blocks, tokens_of
+from rillway.operators.token_text import corpus_blocks, next_turn, pad_tokens, prompt_dataset, token_blocks, tokens_of
 
 ODD = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u2029\u202f\u3000 ab`"
 
@@ -285,6 +285,38 @@ def test_token_blocks_cover_the_whole_text(spark):
         assert got.get(i, {}) == want, repr(text)
 
 
+def test_corpus_blocks_go_on_over_documents(spark):
+    rng = random.Random(3)
+    texts = odd_texts(150, seed=2) + [" ".join(f"w{i}" for i in range(n)) for n in (1, 3, 4, 5, 8, 9, 1000, 0, 1, 1, 1)] + [None]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "i INT, t STRING").repartition(5).withColumns({c: F.lit("z") for c in ("_key", "_end", "block", "tokens")})
+    tokens = [w for text in texts for w in (text or "").split()]
+    for size in (1, 4, 128, 5000):
+        got = {r.block: (r.tokens, r.n_tokens, r.complete) for r in corpus_blocks(df, "i", "t", size=size).collect()}
+        parts = [tokens[at : at + size] for at in range(0, len(tokens), size)]
+        assert got == {b: (part, len(part), len(part) == size) for b, part in enumerate(parts)}
+    assert corpus_blocks(df.limit(0), "i", "t").collect() == []
+
+
+def test_code_lines_of_rows_equal_those_of_texts(spark):
+    rng = random.Random(5)
+    pieces = ["```", "  ```py", "import os", " text", "", "df = 1", "select x", "a ``` b", "```x```", "x"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts.append("\n".join(["```", *(f"line {i}" for i in range(5000)), "```", "not code", "import x"]))
+    rows = [(d, 10 * k, line) for d, text in enumerate(texts) for k, line in enumerate(text.split("\n"))]
+    rows += [(None, 1, "```"), (None, 2, "inside"), (None, 3, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc INT, pos INT, line STRING").repartition(6)
+    kept = {}
+    for r in sorted(code_lines(df, "doc", "pos", "line").collect(), key=lambda r: (r.doc is None, r.doc, r.pos)):
+        kept.setdefault(r.doc, []).append(r.line)
+    assert kept.pop(None) == ["inside", None]
+    # A text keeps its lines together and strips them as a whole.
+    want = apply(spark, texts, extract_code(F.col("t")))
+    assert ["\n".join(kept.get(d, [])).strip() for d in range(len(texts))] == [code.strip() for (code,) in want]
+
+
 def test_a_very_long_text(spark):
     n = 300_000
     df = spark.range(1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")), " ").alias("t"))
