@@ -172,14 +172,16 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the greatest ``order`` per key.
+    """The row with the greatest ``order`` per key; of equal ones that with the greatest hash of the row.
 
-    An aggregate, not a window: each task first reduces its rows to one per key.
+    An aggregate over key, order and hash only, met again by its rows: long texts are in no sort of a group. Columns
+    may be of any type.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    last = F.max(F.struct(*[named(c) for c in [*order, *rest]])).alias("_last")
-    grouped = df.groupBy(*[named(k) for k in keys]).agg(last)
-    return grouped.select(
-        [named(c) if c in keys else F.col("_last").getField(c).alias(c) for c in df.columns]
-    )
+    place = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(order)], row_hash(df).alias("h"))
+    placed = df.withColumn("_row", F.struct(F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"), place.alias("at")))
+    last = placed.groupBy(F.col("_row.k").alias("k")).agg(F.max("_row.at").alias("at")).select(F.struct("k", "at").alias("_row"))
+    # Rows that are equal in all but maps share their hash: one of them stays.
+    once = Window.partitionBy("_row").orderBy(F.lit(0))
+    kept = placed.join(last, "_row").withColumn("_copy", F.row_number().over(once)).filter("_copy = 1")
+    return kept.select([named(c) for c in df.columns])

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from rillway.functions.text import count_lines, escape_markup
 from rillway.operators.cleaning import apply_rules
-from rillway.operators.quality import quality_report, summarise_quality
+from rillway.operators.quality import quality_report, report_rows, summarise_quality
 from rillway.operators.scoring import Feature, presence_score, route_by_score
 from rillway.operators.spec_documents import complexity, element_sets, step_inventory, tag_names
+from rillway.plans.line_diff_sql import diff_sql, without_last_blank
 from rillway.plans.registry import query, table
 from rillway.plans.text_queries import MARK_RULES
 
@@ -235,7 +236,7 @@ _LISTS = ", ".join(
         lambda x: '    "' || x || '"'), ',' || chr(10)) || chr(10) || '  ]' END AS j_{s}"""
     for s in ("columns", "filters", "joins", "calculations", "string_ops")
 )
-_REPORT_SQL = f"""
+_REPORT_CTES = f"""
     WITH s AS (SELECT s.*, p.p_size, {_LISTS} FROM ({_SETS_SQL}) s JOIN part p USING (p_partkey)),
     c AS (
       SELECT *, p_partkey % 4 <> 0 AS had, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE
@@ -267,6 +268,8 @@ _REPORT_SQL = f"""
         CASE WHEN total = 0 THEN 50.0::DOUBLE ELSE hits::DOUBLE / total::DOUBLE * 100.0::DOUBLE END AS accuracy_before,
         CASE WHEN total = 0 THEN 50.0::DOUBLE ELSE hits_out::DOUBLE / total::DOUBLE * 100.0::DOUBLE END AS accuracy_after
       FROM h)
+"""
+_REPORT_SQL = f"""{_REPORT_CTES}
     SELECT 'part_' || p_partkey AS file, accuracy_before, accuracy_after,
            CASE WHEN had THEN 'corrected' ELSE 'generated' END AS action, accuracy_after < 20 AS regenerate,
            CASE WHEN had AND code_out <> code THEN concat_ws('|',
@@ -299,3 +302,22 @@ def w_document_report(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return summarise_quality(part_report(spark, d))
+
+
+_TEXTS_SQL = f"""{_REPORT_CTES}
+    SELECT 'part_' || p_partkey AS k, {without_last_blank("string_split(code, chr(10))")} AS b,
+           {without_last_blank("string_split(CASE WHEN accuracy_after < 20 THEN fallback ELSE code_out END, chr(10))")} AS a
+    FROM r WHERE had
+"""
+
+
+@query(
+    f"""
+    SELECT file, accuracy_before, accuracy_after, action, seq, rule, CASE WHEN rule = 'DIFF_DELETE' THEN line WHEN rule IS NOT NULL THEN '' END AS before,
+           CASE WHEN rule = 'DIFF_DELETE' THEN '' ELSE line END AS after
+    FROM ({_REPORT_SQL}) LEFT JOIN ({diff_sql(_TEXTS_SQL)}) ON file = k
+    """
+)
+def w_document_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """What the rules changed in every program, line by line, with the scores of its document."""
+    return report_rows(part_report(spark, d)).drop("mode", "engine", "note")

@@ -109,6 +109,17 @@ def q_glob_scan(spark: SparkSession, d: str) -> DataFrame:
     return read_delimited(spark, folder, fields, glob="*.{csv,tsv}", exclude="*.tsv")
 
 
+@query("SELECT s_suppkey, s_name FROM supplier")
+def q_glob_exclude(spark: SparkSession, d: str) -> DataFrame:
+    """Excluded files of one folder have another header, without the columns asked for."""
+    folder = scratch_path(spark, "exclude")
+    supplier = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    write_delimited(supplier.filter("s_suppkey % 2 = 0"), folder)
+    write_delimited(supplier.filter("s_suppkey % 2 = 1").select("s_name", F.lit(1).alias("extra"), "s_suppkey"), folder, append=True)
+    write_delimited(table(spark, d, "nation").select("n_name"), folder, append=True, extension="bak")
+    return read_delimited(spark, folder, [Field("s_suppkey", "long"), Field("s_name")], exclude="*.bak")
+
+
 @query(
     """
     SELECT c_mktsegment || ',' || c_nationkey AS value, CAST(2 * count(*) AS BIGINT) AS n

@@ -15,6 +15,7 @@ from rillway.operators.line_sets import line_multiset_diff
 from rillway.operators.quality import json_summary
 from rillway.operators.spec_documents import tag_names
 from rillway.operators.token_text import corpus_blocks, pad_tokens, token_blocks, tokens_of
+from rillway.plans.line_diff_sql import diff_sql, without_last_blank
 from rillway.plans.registry import query, table
 from rillway.sources.fields import named
 
@@ -234,81 +235,17 @@ def q_line_except(spark: SparkSession, d: str) -> DataFrame:
     return line_multiset_diff(_page_versions(spark, d), "page_id", pieces["before"], pieces["after"])
 
 
-def _aligned_sql(name: str, pairs: str) -> str:
-    """CTEs ending in ``name``: pairs (page_id, block, i, j) of the longest chains, by the number each could still reach."""
-    same = "n.page_id = s.page_id AND n.block = s.block"
-    return f"""
-    {name}_n AS (SELECT *, row_number() OVER (PARTITION BY page_id, block ORDER BY i) AS up,
-                        row_number() OVER (PARTITION BY page_id, block ORDER BY i DESC) AS down FROM ({pairs})),
-    {name}_s AS (
-      SELECT page_id, block, i, j, up, down, 1 AS reach, [struct_pack(j := j, reach := 1)] AS later FROM {name}_n WHERE down = 1
-      UNION ALL
-      SELECT page_id, block, i, j, up, down, reach, list_append(later, struct_pack(j := j, reach := reach)) FROM (
-        SELECT n.*, s.later, 1 + coalesce(list_max(list_transform(list_filter(s.later, lambda x: x.j > n.j), lambda x: x.reach)), 0) AS reach
-        FROM {name}_s s JOIN {name}_n n ON {same} AND n.down = s.down + 1)),
-    {name}_g AS (
-      SELECT page_id, block, 0::BIGINT AS up, -1::BIGINT AS i, -1::BIGINT AS j, max(reach) AS need, -1::BIGINT AS last, false AS taken
-      FROM {name}_s GROUP BY page_id, block
-      UNION ALL
-      SELECT page_id, block, up, i, j, CASE WHEN fits THEN need - 1 ELSE need END, CASE WHEN fits THEN j ELSE last END, fits FROM (
-        SELECT n.page_id, n.block, n.up, n.i, n.j, s.need, s.last, n.reach = s.need AND n.j > s.last AS fits
-        FROM {name}_g s JOIN {name}_s n ON {same} AND n.up = s.up + 1)),
-    {name} AS (SELECT page_id, i, j FROM {name}_g WHERE taken)"""
-
-
-def _stretches_sql(kept: str) -> str:
-    return f"""
-      SELECT * FROM (
-        SELECT page_id, i + 1 AS i1, lead(i) OVER w AS i2, j + 1 AS j1, lead(j) OVER w AS j2 FROM (
-          {kept} UNION ALL SELECT page_id, head - 1, head - 1 FROM d UNION ALL SELECT page_id, nb - tail, na - tail FROM d)
-        WINDOW w AS (PARTITION BY page_id ORDER BY i, j))
-      WHERE i2 > i1 OR j2 > j1"""
-
-
-def _lines_sql(side: str, at: str) -> str:
-    """Lines of one side in the stretches with lines on both, with the number of their copy."""
-    return f"""
-      SELECT l.page_id, c.i1 AS block, line, l.{at}, row_number() OVER (PARTITION BY l.page_id, c.i1, line ORDER BY l.{at}) AS copy
-      FROM {side} l JOIN once_c c ON l.page_id = c.page_id AND l.{at} >= c.{at}1 AND l.{at} < c.{at}2 AND c.i2 > c.i1 AND c.j2 > c.j1"""
-
-
-_RANGE = "CASE WHEN {1} = 1 THEN CAST({0} + 1 AS VARCHAR) WHEN {1} = 0 THEN {0} || ',0' ELSE ({0} + 1) || ',' || {1} END"
-_BOUNDED = "CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END"
 # Pages have line ends of their own besides those put in place of '>'. Every 11th line is put at the end.
-_DIFF_SQL = f"""
-    WITH RECURSIVE t AS (SELECT page_id, string_split_regex(html, '>|\\r\\n|\\n|\\r') AS p FROM pages),
-    u AS (SELECT page_id, {_BOUNDED} AS b FROM t),
-    v AS (SELECT page_id, b, list_concat(list_transform(list_filter(b, lambda x, k: k % 11 <> 6), lambda x: replace(x, '###', '')),
-                                         list_filter(b, lambda x, k: k % 11 = 6)) AS p FROM u),
-    x AS (SELECT page_id, b, {_BOUNDED} AS a FROM v),
-    y AS (SELECT *, len(b) AS nb, len(a) AS na, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[1:k] = b[1:k])) AS head FROM x),
-    d AS (SELECT *, len(list_filter(range(1, least(na, nb) - head + 1), lambda k: a[na - k + 1:] = b[nb - k + 1:])) AS tail FROM y),
-    o AS (SELECT page_id, i, b[i + 1] AS line FROM (SELECT *, unnest(range(head, nb - tail)) AS i FROM d)),
-    n AS (SELECT page_id, j, a[j + 1] AS line FROM (SELECT *, unnest(range(head, na - tail)) AS j FROM d)),
-    one AS (
-      SELECT page_id, 0 AS block, i, j FROM (SELECT page_id, line, min(i) AS i FROM o GROUP BY 1, 2 HAVING count(*) = 1)
-      JOIN (SELECT page_id, line, min(j) AS j FROM n GROUP BY 1, 2 HAVING count(*) = 1) USING (page_id, line)),
-    {_aligned_sql("once", "SELECT * FROM one")},
-    once_c AS ({_stretches_sql("SELECT page_id, i, j FROM once")}),
-    two AS (SELECT page_id, block, i, j FROM ({_lines_sql("o", "i")}) JOIN ({_lines_sql("n", "j")}) USING (page_id, block, line, copy)),
-    {_aligned_sql("copies", "SELECT * FROM two")},
-    c AS ({_stretches_sql("SELECT page_id, i, j FROM once UNION ALL SELECT page_id, i, j FROM copies")}),
-    h AS (SELECT *, sum(opens) OVER (PARTITION BY page_id ORDER BY i1, j1) AS hunk FROM (
-      SELECT *, CASE WHEN i1 - lag(i2) OVER (PARTITION BY page_id ORDER BY i1, j1) <= 6 THEN 0 ELSE 1 END AS opens FROM c)),
-    g AS (SELECT *, greatest(i1 - 3, 0) AS p, greatest(j1 - 3, 0) AS q, least(3, nb - i2) AS rest FROM (
-      SELECT page_id, hunk, min(i1) AS i1, min(j1) AS j1, max(i2) AS i2, max(j2) AS j2 FROM h GROUP BY 1, 2) JOIN d USING (page_id)),
-    r AS (
-      SELECT page_id, p + q - 1 AS seq, hunk, p AS pos, 'HUNK' AS rule,
-             '@@ -' || {_RANGE.format("p", "(i2 + rest - p)")} || ' +' || {_RANGE.format("q", "(j2 + rest - q)")} || ' @@' AS line FROM g
-      UNION ALL
-      SELECT page_id, i + j1, hunk, i, 'DIFF_DELETE', b[i + 1] FROM (SELECT *, unnest(range(i1, i2)) AS i FROM h) JOIN d USING (page_id)
-      UNION ALL
-      SELECT page_id, i2 + j, hunk, j, 'DIFF_INSERT', a[j + 1] FROM (SELECT *, unnest(range(j1, j2)) AS j FROM h) JOIN d USING (page_id))
-    SELECT page_id, CAST(seq AS INTEGER) AS seq, CAST(hunk AS INTEGER) AS hunk, CAST(pos AS INTEGER) AS pos, rule, line FROM r
+_EDITED_SQL = f"""
+    SELECT page_id AS k, b, {without_last_blank("p")} AS a FROM (
+      SELECT page_id, b, list_concat(list_transform(list_filter(b, lambda x, n: n % 11 <> 6), lambda x: replace(x, '###', '')),
+                                     list_filter(b, lambda x, n: n % 11 = 6)) AS p
+      FROM (SELECT page_id, {without_last_blank("p")} AS b FROM (
+        SELECT page_id, string_split_regex(html, '>|\\r\\n|\\n|\\r') AS p FROM pages)))
 """
 
 
-@query(_DIFF_SQL)
+@query(f"SELECT k AS page_id, * EXCLUDE (k) FROM ({diff_sql(_EDITED_SQL)})")
 def q_line_diff(spark: SparkSession, d: str) -> DataFrame:
     """Hunks with deleted and inserted lines of pages that lost marks and of which lines moved."""
     lines = _page_versions(spark, d).select("page_id", "before", lines_of(F.col("before")).alias("lines"))

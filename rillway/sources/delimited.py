@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 from rillway.session import drop_path, scratch_path
-from rillway.sources.fields import Field, file_name, named, parse_field, struct_of
+from rillway.sources.fields import Field, named, parse_field, struct_of
 
 
 def read_delimited(
@@ -37,6 +38,7 @@ def read_delimited(
     leave out columns anywhere, and files may order theirs differently. Without one, they are bound
     by position. Values may hold line breaks in quotes; a file is then one task's work, so keep
     files to a moderate size, or state ``multiline=False`` for large files known to have none.
+    Files that ``exclude`` names are left out of the listing: they are never opened, whatever their header.
     An empty field is NULL; with ``empty_text`` a quoted one is an empty text, as
     ``write_delimited`` writes it.
     """
@@ -62,16 +64,17 @@ def read_delimited(
             raise
         return spark.createDataFrame([], struct_of(fields))
     parts = [raw]
-    if header:
+    if header or exclude:
+        listed = raw.inputFiles()
+        files = [f for f in listed if not exclude or not fnmatch.fnmatchcase(_base_name(f), exclude)]
+        if not files:
+            return spark.createDataFrame([], struct_of(fields))
         # The reader takes the header of one file for all, so files of another are read apart.
-        by_header = _files_by_header(spark, raw.inputFiles(), encoding)
-        if len(by_header) > 1:
-            parts = [_plain(reader).csv(files) for files in by_header.values()]
+        by_header = _files_by_header(spark, files, encoding) if header else {"": files}
+        if len(by_header) > 1 or len(files) < len(listed):
+            parts = [_plain(reader).csv(some) for some in by_header.values()]
     chosen = []
     for part in parts:
-        if exclude:
-            # A filter on the file name is applied to the file listing, before any file is opened.
-            part = part.filter(~file_name().rlike(fnmatch.translate(exclude)))
         missing = [f.name for f in fields if f.name not in part.columns]
         if missing:
             raise ValueError(f"columns {missing} are not in the header {part.columns}")
@@ -83,6 +86,10 @@ def read_delimited(
 _NO_VALUE = "\ufdd0"
 
 
+def _base_name(file: str) -> str:
+    return unquote(file.rsplit("/", 1)[-1])
+
+
 def _plain(reader: DataFrameReader) -> DataFrameReader:
     """The same reader for a list of files, which need no choice by name."""
     return reader.option("pathGlobFilter", "*").option("recursiveFileLookup", False)

@@ -265,3 +265,23 @@ def test_reports_over_folders(spark, tmp_path, rows):
     assert written["target=big_job_1_corrected"] == "df.join(a == b).select(c)\n"
     assert written["target=small_generated"].startswith("# Could not generate")
     assert spark.read.option("header", True).csv(str(out / "correction_report_20240506_070809")).count() == 2
+
+
+def test_overwriting_programs(spark, tmp_path):
+    specs, programs, out = tmp_path / "specs", tmp_path / "programs", tmp_path / "out"
+    for folder in (specs, programs):
+        folder.mkdir()
+    (specs / "Big job-1.flow").write_text(JOIN_SPEC)
+    (specs / "small.flow").write_text("<t/>")
+    (programs / "Big job-1_converted.py").write_text("df.join(a === b)\nx = 1\n")
+    (programs / "other.py").write_text("left alone")
+    run_quality_report(spark, str(specs), str(programs), str(out), ["flow"], datetime(2024, 5, 6), mode="overwrite")
+    assert {p.name: p.read_text() for p in programs.iterdir()} == {
+        "Big job-1_converted.py": "df.join(a == b)\nx = 1\n", "other.py": "left alone"
+    }
+    assert [p.name for p in (out / "texts").glob("target=*")] == ["target=small_generated"]
+    rows = spark.read.parquet(str(out / "correction_rows_20240506_000000")).orderBy("file", "seq").collect()
+    assert [(r.file, r.action, r.rule, r.before, r.after) for r in rows] == [
+        ("big_job_1", "corrected", "HUNK", "", "@@ -1,2 +1,2 @@"), ("big_job_1", "corrected", "DIFF_DELETE", "df.join(a === b)", ""),
+        ("big_job_1", "corrected", "DIFF_INSERT", "", "df.join(a == b)"), ("small", "generated", None, None, None),
+    ]

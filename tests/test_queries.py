@@ -2,6 +2,9 @@
 
 import os
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -61,3 +64,21 @@ def test_entry_contract(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
     flagship = entry_module.entry(spark)
     assert flagship.columns == ["n_name", "p_type", "total_revenue", "customer_count"] and flagship.count() > 0
+
+
+@pytest.mark.parametrize("left_out", [("rillway/llm",), ("rillway/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_imports_without_the_optional_parts(tmp_path, left_out):
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    for name in ("rillway", "corpus_pipeline.py", "__spark_entry__.py"):
+        source = os.path.join(root, name)
+        if os.path.isdir(source):
+            shutil.copytree(source, tmp_path / name, ignore=lambda folder, names: [
+                n for n in names if n == "__pycache__" or os.path.relpath(os.path.join(folder, n), root) in left_out
+            ])
+        elif os.path.exists(source) and name not in left_out:
+            shutil.copy(source, tmp_path / name)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode == 0, done.stderr
+    n, sql = map(int, done.stdout.split())
+    assert n >= len(QUERIES) and sql >= len(ORACLES)

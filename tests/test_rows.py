@@ -233,3 +233,11 @@ def test_running_totals_equal_sums_in_order(spark):
             sums[g if within else 0] = (s + (v or 0), n + 1)
             assert got[i] == sums[g if within else 0]
     assert running_totals(df.limit(0), ["id"], totals).collect() == []
+
+
+def test_latest_per_key_takes_any_columns(spark):
+    rows = [(None, 1, {"a": 1}, "x"), (None, 2, {"a": 2}, "y"), (1, None, {"b": 1}, "z"), (1, None, {"b": 1}, "z"), (2, 5, None, "t"), (2, 5, None, "s")]
+    df = spark.createDataFrame(rows, "k INT, o INT, m MAP<STRING, INT>, t STRING")
+    got = sorted((tuple(r) for r in latest_per_key(df, "k", ["o"]).collect()), key=repr)
+    assert got[0] == (1, None, {"b": 1}, "z") and got[1][:3] == (2, 5, None) and got[2:] == [(None, 2, {"a": 2}, "y")]
+    assert latest_per_key(df, ["k", "t"], ["o"]).columns == df.columns

@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillway.operators.token_text import prompt_dataset
 from rillway.session import drop_scratch, scratch_path, scratch_root, shuffle_settings
+from rillway.sources import replace
 from rillway.sources.delimited import (
     output_name, overwrite_source, read_delimited, write_delimited, write_single_file,
 )
@@ -14,6 +16,7 @@ from rillway.sources.documents import (
     append_jsonl, read_documents, read_text, valid_text, write_documents, write_report, write_text,
 )
 from rillway.sources.fields import Field, parse_field, strings
+from rillway.sources.replace import finish_replacing, replace_files
 from rillway.sources.tables import (
     jdbc_query_options, jdbc_table_options, query_with_params, read_query, read_table, write_table,
 )
@@ -137,6 +140,85 @@ def test_each_file_has_its_own_header(spark, tmp_path, rows):
     assert rows(only) == [(1,), (3,)]
 
 
+def test_excluded_files_are_not_opened(spark, tmp_path, rows):
+    put(tmp_path / "in" / "a.csv", "id,name\n1,x\n")
+    put(tmp_path / "in" / "ab.csv", "id\n2\n")
+    put(tmp_path / "in" / "b 1.csv", "other\nq\n")
+    os.chmod(tmp_path / "in" / "b 1.csv", 0)
+    fields = [Field("id", "long")]
+    assert rows(read_delimited(spark, str(tmp_path / "in"), fields, exclude="b*.csv")) == [(1,), (2,)]
+    assert rows(read_delimited(spark, str(tmp_path / "in"), fields, exclude="*")) == []
+    plain = read_delimited(spark, str(tmp_path / "in"), [Field("id")], exclude="*b*", header=False)
+    assert rows(plain) == [("1",), ("id",)]
+
+
+def folder_texts(folder):
+    return {p.name: p.read_text() for p in folder.iterdir() if not p.name.startswith(".")}
+
+
+@pytest.fixture
+def programs(tmp_path):
+    texts = {f"p {i}.py": f"old {i}\n" for i in range(5)} | {"007": "old\n"}
+    for name, text in texts.items():
+        put(tmp_path / "programs" / name, text)
+    return tmp_path / "programs"
+
+
+def test_files_are_replaced_by_what_was_read_from_them(spark, programs):
+    read = read_documents(spark, str(programs), ["py"]).withColumn("text", F.concat("text", F.lit("new\n")))
+    more = spark.createDataFrame([("007", "bond\n"), ("made now é.py", "x")], "name STRING, text STRING")
+    replace_files(read.select("name", "text").unionByName(more), str(programs), "name", "text")
+    want = {f"p {i}.py": f"old {i}\nnew\n" for i in range(5)} | {"007": "bond\n", "made now é.py": "x\n"}
+    assert folder_texts(programs) == want
+    # A later edit by hand can be read: no checksum of the written text is left.
+    (programs / "p 0.py").write_text("by hand")
+    assert read_documents(spark, str(programs), ["py"]).filter("name = 'p 0.py'").first().text == "by hand"
+
+
+def test_a_stop_between_moves_loses_nothing(spark, programs, monkeypatch):
+    new = spark.createDataFrame([(f"p {i}.py", f"new {i}\n") for i in range(5)], "name STRING, text STRING")
+    moved, move = [], replace._move
+
+    def stops(spark, source, target):
+        if len(moved) == 2:
+            raise OSError("stopped")
+        moved.append(target.getName())
+        move(spark, source, target)
+
+    monkeypatch.setattr(replace, "_move", stops)
+    with pytest.raises(OSError, match="stopped"):
+        replace_files(new, str(programs), "name", "text")
+    texts = folder_texts_of_files(programs)
+    assert [texts[f"p {i}.py"].startswith("new") for i in range(5)].count(True) == 2 and set(texts.values()) <= {
+        f"{age} {i}\n" for i in range(5) for age in ("old", "new")
+    } | {"old\n"}
+    # What waits there is no document.
+    assert read_documents(spark, str(programs), ["py", "txt"], recursive=True).count() == 5
+    monkeypatch.setattr(replace, "_move", move)
+    assert finish_replacing(spark, str(programs)) and not finish_replacing(spark, str(programs))
+    assert folder_texts(programs) == {f"p {i}.py": f"new {i}\n" for i in range(5)} | {"007": "old\n"}
+
+
+def folder_texts_of_files(folder):
+    return {p.name: p.read_text() for p in folder.iterdir() if p.is_file() and not p.name.startswith(".")}
+
+
+def test_a_stop_before_the_decision_changes_nothing(spark, programs, monkeypatch):
+    before = folder_texts(programs)
+    bad = spark.createDataFrame([("p 0.py", "new\n")], "name STRING, text STRING")
+    written = replace.write_documents
+
+    def stops(*args):
+        written(*args)
+        raise OSError("stopped")
+
+    monkeypatch.setattr(replace, "write_documents", stops)
+    with pytest.raises(OSError, match="stopped"):
+        replace_files(bad, str(programs), "name", "text")
+    assert folder_texts_of_files(programs) == before
+    assert not finish_replacing(spark, str(programs)) and folder_texts(programs) == before
+
+
 def test_overwriting_the_source(spark, tmp_path, rows):
     path = str(tmp_path / "data")
     write_delimited(spark.range(5), path)
