@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -19,8 +19,37 @@ from rillway.sources.fields import named
 
 CAPACITY = 2048
 END_ID = 0
-# Pre-tokens, and parts between spaces, whose ids a worker process remembers: about 100 MB each.
-CACHED = 600_000
+# Bytes that a worker process may take to remember the ids of pre-tokens.
+REMEMBERED_BYTES = 96 << 20
+# What an entry takes besides its key and value.
+ENTRY_BYTES = 200
+
+
+class Memory:
+    """Ids by text, as many as fit a bound of bytes: the latest used.
+
+    Two halves: when the newer one is full, it becomes the older one, which is forgotten but for what is asked for
+    again. One text's own parts are held whatever their size, until the next text.
+    """
+
+    def __init__(self, most: int = REMEMBERED_BYTES):
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.most, self.size = most // 2, 0
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Those of the keys that are not remembered; all others are in ``known`` then, until the next call."""
+        if self.size > self.most:
+            self.known, self.older, self.size = {}, self.known, 0
+        absent = {k for k in keys if k not in self.known}
+        again = {k: v for k in absent if (v := self.older.get(k)) is not None}
+        self.add(again.items())
+        return [k for k in absent if k not in again]
+
+    def add(self, entries: Iterable[tuple[str, bytes]]) -> None:
+        for key, value in entries:
+            self.known[key] = value
+            self.size += len(key) + len(value) + ENTRY_BYTES
 
 
 @cache
@@ -28,10 +57,10 @@ def _encoder(path: str, pattern: str):
     """Text to the bytes of its little-endian 32-bit ids.
 
     Byte-level BPE never merges across the pre-tokens that ``pattern`` finds, so ids are looked up
-    per pre-token and only new ones go to the tokenizer. A pre-token that holds a space behind
-    another character is white space only, so a text may first be cut before each space that follows
-    another than a white-space character, and the ids of the parts be looked up. Parts with
-    characters that Unicode versions class differently are left to the tokenizer as a whole.
+    per pre-token and only new ones go to the tokenizer. Characters that Unicode versions class
+    differently are left to the tokenizer, with the part of the text around them: a pre-token that holds a
+    space behind another character is white space only, so a text may be cut before each space
+    that follows another than a white-space character.
 
     A string of an added token inside a text is that token, as in the tokenizer's plain call; what
     lies between such strings is encoded by itself. A worker process keeps its encoder for its next
@@ -50,19 +79,21 @@ def _encoder(path: str, pattern: str):
     split = regex.compile(pattern).findall
     cut = re.compile(r"(?<=\S)(?= )").split
     unsure = re.compile(r"[^\0-\u0557]").search
-    small: dict[str, bytes] = {}
-    large: dict[str, bytes] = {}
-
-    def by_tokens(texts: list[str]) -> list[bytes]:
-        parts = [split(t) if t.isascii() or not unsure(t) else [t] for t in texts]
-        if len(small) > CACHED:
-            small.clear()
-        new = list({p for ps in parts for p in ps if p not in small})
+    memory = Memory()
+
+    def pre_tokens(text: str) -> list[str]:
+        if text.isascii() or not unsure(text):
+            return split(text)
+        return [p for part in cut(text) for p in ([part] if unsure(part) else split(part))]
+
+    def looked_up(text: str) -> bytes:
+        parts = pre_tokens(text)
+        new = memory.missing(parts)
         for low in range(0, len(new), 1000):
             some = new[low : low + 1000]
-            for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                small[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(small.__getitem__, ps)) for ps in parts]
+            found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            memory.add((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found))
+        return b"".join(map(memory.known.__getitem__, parts))
 
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -73,20 +104,6 @@ def _encoder(path: str, pattern: str):
                 return b"".join(whole(t) if t in added else looked_up(t) for t in between(text) if t) if plain else whole(text)
         return looked_up(text)
 
-    def looked_up(text: str) -> bytes:
-        parts = cut(text) if "\0" in text else text.replace(" ", "\0 ").split("\0")
-        new, tail = list({p for p in parts if p not in large}), b""
-        # Parts that end in white space are never remembered, so none that a cut tore goes unseen.
-        if any(p[-1:].isspace() for p in new):
-            *parts, last = cut(text)
-            new, tail = list({p for p in parts if p not in large}), by_tokens([last])[0]
-        if new:
-            if len(large) > CACHED:
-                large.clear()
-                new = list(set(parts))
-            large.update(zip(new, by_tokens(new)))
-        return b"".join(map(large.__getitem__, parts)) + tail
-
     return encode
 
 

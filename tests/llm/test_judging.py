@@ -200,13 +200,26 @@ def test_ids_are_those_of_the_whole_text(encode):
     ids = packing._encoder(public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
     runs = [" \u00a0 \u00a0 ", "\u00a0 \u00a0", "\n \n", "\t \t", " \n  x", "\r\n ", "\u2003 \u3000 ", "\x1c \x85 ", "  ", " "]
     texts = [f"{a}{r}{b}" for r in runs for a in ("a", "", "1.", "\0") for b in ("b", "", "'s", "\0 c")]
-    texts += ["a\u0558b 1\u058b2", "\U00010940a x", "日本 語  \u3000 x"]
+    texts += ["it\u2019s  here 12\u00b2 \u2014 \u00bd x\n\u2028 y", "\u2019" * 30, " \u2019 \u2019", "a\u0558b 1\u058b2", "\U00010940a x", "日本 語  \u3000 x"]
     rng = random.Random(7)
     texts += ["".join(rng.choice(" \u00a0\n\tab1é'.\0") for _ in range(40)) for _ in range(300)]
     for text in texts:
         assert [*np.frombuffer(ids(text), "<u4")] == encode(text)[:-1], repr(text)
 
 
+def test_remembered_ids_stay_within_their_bytes(encode):
+    ids = packing._encoder(public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    small = packing.Memory(20_000)
+    for i in range(3000):
+        keys = [f"word{i}", "often", f"word{i % 50}"]
+        new = small.missing(keys)
+        small.add((k, k.encode()) for k in new)
+        assert all(small.known[k] == k.encode() for k in keys) and (i == 0 or "often" not in new)
+    assert sum(len(k) + len(v) + packing.ENTRY_BYTES for half in (small.known, small.older) for k, v in half.items()) < 22_000
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(200_000))
+    assert [*np.frombuffer(ids(text), "<u4")] == encode(text)[:-1]
+
+
 def test_strings_of_added_tokens_are_these_tokens(encode):
     ids = packing._encoder(public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
     end = "<|endoftext|>"
