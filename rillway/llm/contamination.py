@@ -92,6 +92,10 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns. Rows without an id stay."""
-    bad = contaminated(docs, items, id_col, **columns).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, named(id_col) == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns, whatever their names.
+
+    Rows without an id stay; of rows that repeat an id none stays if one holds an item.
+    """
+    bad = "_".join(["bad", *docs.columns])
+    found = contaminated(docs, items, id_col, **columns).select(F.col(id_col).alias(bad)).distinct()
+    return docs.join(found, named(id_col) == named(bad), "left_anti")

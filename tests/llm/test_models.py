@@ -200,3 +200,16 @@ def test_stages_on_odd_rows(spark):
             out = stage(spark, rows, SMALL)
             assert out.columns == docs.columns and out.count() <= rows.count()
         assert (corpus_pipeline.STAGES[-1][1](spark, rows, SMALL).count() > 0) == (rows is docs)
+
+
+def test_stages_keep_rows_and_columns_apart(spark):
+    rng = random.Random(3)
+    t, u, item = prose(rng, 80), prose(rng, 80), spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    other = prose(rng, 80) + " " + item
+    docs = spark.createDataFrame([(1, t), (2, t), (2, u), (3, other)], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("_copy", "copy", "key", "_bad", "bad", "text_key", "kept", "component_id")})
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near duplicates"](spark, docs, SMALL)
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted([(1, t), (2, u), (3, other)]) and near.columns == docs.columns
+    clean = stages["benchmark decontamination"](spark, docs, SMALL)
+    assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 2] and clean.columns == docs.columns
