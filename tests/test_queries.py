@@ -16,7 +16,7 @@ SF_DIR = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 # Python runs in these plans only: documents of any depth.
-PYTHON = {"q_element_sets", "q_spec_complexity", "w_document_report", "q_quality_summary"}
+PYTHON = {"q_element_sets", "q_spec_complexity", "w_document_report", "w_document_diffs", "q_quality_summary"}
 # One row in all, or offsets of partitions, of which there are as many as shuffle partitions.
 SINGLE = {"q_quality_summary"} | {
     name for name in QUERIES if name.startswith("q_sort") or name in
