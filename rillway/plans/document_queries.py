@@ -17,6 +17,7 @@ from rillway.operators.spec_documents import complexity, element_sets, step_inve
 from rillway.plans.line_diff_sql import diff_sql, without_last_blank
 from rillway.plans.registry import query, table
 from rillway.plans.text_queries import MARK_RULES
+from rillway.session import scratch_path
 
 
 def _tag(name: str, *content: Column) -> Column:
@@ -320,4 +321,7 @@ _TEXTS_SQL = f"""{_REPORT_CTES}
 )
 def w_document_diffs(spark: SparkSession, d: str) -> DataFrame:
     """What the rules changed in every program, line by line, with the scores of its document."""
-    return report_rows(part_report(spark, d)).drop("mode", "engine", "note")
+    # Written once, as the report is read for the documents and for their differences.
+    path = scratch_path(spark, "report")
+    part_report(spark, d).write.parquet(path)
+    return report_rows(spark.read.parquet(path)).drop("mode", "engine", "note")
