@@ -28,8 +28,9 @@ ATTENTION = 8
 # Texts that the network is trained on, the half of them for each label.
 FIT_TEXTS = 4000
 EPOCHS = 12
-# Windows that go through the network together.
+# Windows that go through the network together: any ones, and such as begin at consecutive words.
 BATCH = 4096
+RUN = 1024
 
 
 @dataclass
@@ -159,12 +160,20 @@ def _run(u: np.ndarray, gates: np.ndarray, mask: np.ndarray, order: range, keep:
     return out
 
 
-def forward(net: Network, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Log-odds of windows: ``at`` (time, batch) points into the rows of ``x``."""
+def gates_of(net: Network, x: np.ndarray) -> dict[str, np.ndarray]:
+    """What the inputs give to the gates of each direction, per row of ``x``."""
+    return {side: x @ net.p["w" + side] + net.p["c" + side] for side in ("f", "b")}
+
+
+def forward(
+    net: Network, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: dict | None = None, gates: dict[str, np.ndarray] | None = None
+) -> np.ndarray:
+    """Log-odds of windows: ``at`` (time, batch) points into the rows of ``x``, whose gates may be given."""
     p, states = net.p, []
+    gates = gates_of(net, x) if gates is None else gates
     for side, order in (("f", range(len(at))), ("b", range(len(at) - 1, -1, -1))):
         trace = None if keep is None else keep.setdefault(side, [])
-        states.append(_run(p["u" + side], (x @ p["w" + side] + p["c" + side])[at], mask, order, trace))
+        states.append(_run(p["u" + side], gates[side][at], mask, order, trace))
     h = np.concatenate(states, axis=2)
     a = np.tanh(h @ p["attend"])
     e = np.where(mask, a @ p["query"], np.float32(-1e9))
@@ -232,28 +241,81 @@ class Adam:
 
 
 def window_odds(net: Network, t: Tokens, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    x, out = inputs(net, t), np.zeros(len(begin), np.float32)
+    out = np.zeros(len(begin), np.float32)
     steps = np.arange(WINDOW)[:, None]
+    x = inputs(net, t)
+    gates = gates_of(net, x)
     for low in range(0, len(begin), BATCH):
         b, n = begin[low : low + BATCH], length[low : low + BATCH]
         mask = steps < n
         at = t.of[np.minimum(b + steps, len(t.of) - 1)]
-        out[low : low + BATCH] = forward(net, x, at, mask)
+        out[low : low + BATCH] = forward(net, x, at, mask, gates=gates)
     return out
 
 
+def odds_at_every_word(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Log-odds of all windows of WINDOW words in the row of words ``of``, which point into the rows of ``x``.
+
+    The same as ``forward``: windows begin one after the other, so what step t reads of the inputs is a
+    slice of them. Arrays are (feature, window). A sigmoid is a tanh of half its argument, and those halves are
+    taken out of the loop; the product with a state also gives what attention and output need of it.
+    """
+    p, fold = net.p, np.repeat(np.float32([0.5, 1]), [2 * HIDDEN, HIDDEN])
+    n_windows = len(of) - WINDOW + 1
+    out = np.empty(max(n_windows, 0), np.float32)
+    sides = []
+    for i, (side, order) in enumerate((("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1)))):
+        own = slice(i * HIDDEN, (i + 1) * HIDDEN)
+        by_state = np.concatenate([p["u" + side].T * np.float32(0.5), p["attend"][own].T, p["out"][None, own]])
+        sides.append((order, np.ascontiguousarray(by_state), (x @ p["w" + side] + p["c" + side]) * fold))
+    for low in range(0, n_windows, RUN):
+        size = min(RUN, n_windows - low)
+        h, other = np.empty((HIDDEN, size), np.float32), np.empty((HIDDEN, size), np.float32)
+        y = np.empty((3 * HIDDEN + ATTENTION + 1, size), np.float32)
+        zr, z, r, new, seen = y[: 2 * HIDDEN], y[:HIDDEN], y[HIDDEN : 2 * HIDDEN], y[2 * HIDDEN : 3 * HIDDEN], y[3 * HIDDEN :]
+        read = np.zeros((WINDOW, ATTENTION + 1, size), np.float32)
+        for order, by_state, table in sides:
+            gates = np.ascontiguousarray(table[of[low : low + size + WINDOW - 1]].T)
+            h[:] = 0
+            np.matmul(by_state, h, out=y)
+            for t in order:
+                g = gates[:, t : t + size]
+                np.add(zr, g[: 2 * HIDDEN], out=zr)
+                np.tanh(zr, out=zr)
+                np.multiply(new, r, out=other)
+                new += other
+                new += g[2 * HIDDEN :]
+                np.tanh(new, out=new)
+                h -= new
+                h *= np.float32(0.5)
+                np.multiply(z, h, out=other)
+                h += other
+                h += new
+                np.matmul(by_state, h, out=y)
+                read[t] += seen
+        e = np.einsum("a,tab->tb", p["query"], np.tanh(read[:, :ATTENTION]))
+        e = np.exp(e - e.max(axis=0))
+        out[low : low + size] = (e * read[:, ATTENTION]).sum(axis=0) / e.sum(axis=0)
+    return out + p["bias"]
+
+
 def text_odds(net: Network, texts: pa.Array, empty: float) -> np.ndarray:
     """The highest log-odds of all windows of each text, at every word; ``empty`` without a word."""
     out = np.full(len(texts), empty, np.float32)
     for words in split_words(texts):
-        t = tokens(words)
-        text, begin, length = windows_of(words, step=1)
-        if len(text):
-            odds = window_odds(net, t, begin, length)
-            top = np.full(len(words.first) - 1, -np.inf, np.float32)
-            np.maximum.at(top, text, odds)
-            some = words.counts() > 0
-            out[words.row + np.flatnonzero(some)] = top[some]
+        t, counts = tokens(words), words.counts()
+        top = np.full(len(counts), empty, np.float32)
+        short = np.flatnonzero((counts > 0) & (counts < WINDOW))
+        top[short] = window_odds(net, t, words.first[short], counts[short])
+        full = np.flatnonzero(counts >= WINDOW)
+        if len(full):
+            # The texts with a full window one after the other; windows across two texts count for none.
+            long = np.repeat(counts >= WINDOW, counts)
+            odds = odds_at_every_word(net, inputs(net, t), t.of[long])
+            last = np.cumsum(counts[full])
+            bounds = np.stack([last - counts[full], last - WINDOW + 1], axis=1).ravel()
+            top[full] = np.maximum.reduceat(np.append(odds, np.float32(-np.inf)), bounds)[::2]
+        out[words.row : words.row + len(counts)] = top
     return out
 
 
