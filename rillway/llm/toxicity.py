@@ -161,8 +161,16 @@ def _run(u: np.ndarray, gates: np.ndarray, mask: np.ndarray, order: range, keep:
 
 
 def gates_of(net: Network, x: np.ndarray) -> dict[str, np.ndarray]:
-    """What the inputs give to the gates of each direction, per row of ``x``."""
-    return {side: x @ net.p["w" + side] + net.p["c" + side] for side in ("f", "b")}
+    """What the inputs give to the gates of each direction, per row of ``x``.
+
+    In products so small that the linear algebra library takes no threads, which would go on waiting at full load.
+    """
+    out = {side: np.empty((len(x), 3 * HIDDEN), np.float32) for side in ("f", "b")}
+    for side, gates in out.items():
+        for low in range(0, len(x), 256):
+            np.matmul(x[low : low + 256], net.p["w" + side], out=gates[low : low + 256])
+        gates += net.p["c" + side]
+    return out
 
 
 def forward(
@@ -263,11 +271,11 @@ def odds_at_every_word(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarra
     p, fold = net.p, np.repeat(np.float32([0.5, 1]), [2 * HIDDEN, HIDDEN])
     n_windows = len(of) - WINDOW + 1
     out = np.empty(max(n_windows, 0), np.float32)
-    sides = []
+    sides, inputs_give = [], gates_of(net, x)
     for i, (side, order) in enumerate((("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1)))):
         own = slice(i * HIDDEN, (i + 1) * HIDDEN)
         by_state = np.concatenate([p["u" + side].T * np.float32(0.5), p["attend"][own].T, p["out"][None, own]])
-        sides.append((order, np.ascontiguousarray(by_state), (x @ p["w" + side] + p["c" + side]) * fold))
+        sides.append((order, np.ascontiguousarray(by_state), inputs_give[side] * fold))
     for low in range(0, n_windows, RUN):
         size = min(RUN, n_windows - low)
         h, other = np.empty((HIDDEN, size), np.float32), np.empty((HIDDEN, size), np.float32)
@@ -276,8 +284,7 @@ def odds_at_every_word(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarra
         read = np.zeros((WINDOW, ATTENTION + 1, size), np.float32)
         for order, by_state, table in sides:
             gates = np.ascontiguousarray(table[of[low : low + size + WINDOW - 1]].T)
-            h[:] = 0
-            np.matmul(by_state, h, out=y)
+            h[:], y[:] = 0, 0
             for t in order:
                 g = gates[:, t : t + size]
                 np.add(zr, g[: 2 * HIDDEN], out=zr)
