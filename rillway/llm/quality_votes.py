@@ -86,18 +86,20 @@ def text_measures(text: pa.Array) -> pa.Array:
 class Rule:
     """Votes bad beyond ``bad`` and good within ``good``; abstains between and without a value.
 
-    ``of`` gives a ratio of two measures, which is null where the second is 0.
+    ``of`` gives a ratio of two measures, which is null where the second is 0; with ``root`` it is a ratio
+    to the square root of the second.
     """
 
     name: str
     of: tuple[str, str]
     good: float
     bad: float
+    root: bool = False
 
     def vote(self, m: Column) -> Column:
         """1 good, -1 bad, 0 no vote."""
         top, under = (m.getField(x).cast("double") for x in self.of)
-        ratio = F.when(under > 0, top / under)
+        ratio = F.when(under > 0, top / (F.sqrt(under) if self.root else under))
         good, bad = (ratio <= self.good, ratio >= self.bad) if self.good < self.bad else (ratio >= self.good, ratio <= self.bad)
         return F.when(good, 1).when(bad, -1).otherwise(0)
 
@@ -111,7 +113,8 @@ RULES = (
     Rule("words with letters", ("n_letter_words", "n_words"), good=0.9, bad=0.7),
     Rule("capitals", ("n_upper", "n_letters"), good=0.15, bad=0.5),
     Rule("shouts", ("n_shouts", "n_words"), good=0.05, bad=0.3),
-    Rule("few different words", ("n_distinct", "n_words"), good=0.2, bad=0.05),
+    # The number of different words grows like a root of the length; these are shares of 0.2 and 0.05 at MIN_WORDS.
+    Rule("few different words", ("n_distinct", "n_words"), good=0.2 * MIN_WORDS**0.5, bad=0.05 * MIN_WORDS**0.5, root=True),
 )
 
 
@@ -135,18 +138,20 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Accura
     only, so agreement between rules alone does not tell a bad text from a rule that errs on good
     ones. Two things tie the classes down: rules are written to spare good texts, so votes against
     those stay within FALSE_ALARMS; and there is no sign of badness but a vote, so texts without one
-    against them count as good throughout. Each share has a few pseudo-counts. Without any text, what the pseudo-counts say is returned.
+    against them count as good throughout. Votes for a text are not independent, as nearly every text gets
+    nearly all of them: together they weigh as much as one, their mean. Each share has a few pseudo-counts. Without any text, what the pseudo-counts say is returned.
     """
     n_rules = votes.shape[1] if votes.size else len(RULES)
     votes, counts = votes.reshape(-1, n_rules), counts.astype(float)
     spared = ~(votes < 0).any(axis=1)
+    n_for = np.maximum((votes > 0).sum(axis=1), 1)
     good = np.where(spared, 1.0, 0.1)
     for _ in range(rounds):
         wg, wb = counts * good, counts * (1 - good)
         share = np.clip((wg.sum() + 8) / (counts.sum() + 10), 0.05, 0.95)
         right_good = np.clip((wg @ (votes > 0) + 8) / (wg @ (votes != 0) + 10), 1 - FALSE_ALARMS, 0.9999)
         right_bad = np.clip((wb @ (votes < 0) + 5) / (wb @ (votes != 0) + 10), 1 - right_good, 0.999)
-        odds = np.log(share / (1 - share)) + (votes > 0) @ np.log(right_good / (1 - right_bad)) + (votes < 0) @ np.log((1 - right_good) / right_bad)
+        odds = np.log(share / (1 - share)) + (votes > 0) @ np.log(right_good / (1 - right_bad)) / n_for + (votes < 0) @ np.log((1 - right_good) / right_bad)
         now = np.where(spared, 1.0, 1 / (1 + np.exp(-odds)))
         if len(now) == 0 or np.abs(now - good).max() < 1e-9:
             break
@@ -156,12 +161,14 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Accura
 
 def probability(m: Column, accuracies: Accuracies) -> Column:
     """The posterior probability that a text is good, from its votes; 0.5 at least without one against."""
-    spared = F.lit(True)
-    odds = F.lit(float(np.log(accuracies.good_share / (1 - accuracies.good_share))))
-    for rule, g, b in zip(RULES, accuracies.on_good, accuracies.on_bad):
-        vote = rule.vote(m)
+    votes = [rule.vote(m) for rule in RULES]
+    in_favour, n_for, against, spared = F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(True)
+    for vote, g, b in zip(votes, accuracies.on_good, accuracies.on_bad):
+        in_favour = in_favour + F.when(vote > 0, float(np.log(g / (1 - b)))).otherwise(0.0)
+        n_for = n_for + F.when(vote > 0, 1).otherwise(0)
+        against = against + F.when(vote < 0, float(np.log((1 - g) / b))).otherwise(0.0)
         spared = spared & (vote >= 0)
-        odds = odds + F.when(vote > 0, float(np.log(g / (1 - b)))).when(vote < 0, float(np.log((1 - g) / b))).otherwise(0.0)
+    odds = float(np.log(accuracies.good_share / (1 - accuracies.good_share))) + in_favour / F.greatest(n_for, F.lit(1)) + against
     good = 1 / (1 + F.exp(-odds))
     return F.when(spared, F.greatest(good, F.lit(0.5))).otherwise(good)
 

@@ -20,6 +20,7 @@ from rillway.llm.packing_queries import TOKENIZER, pack_documents
 from rillway.session import scratch_path
 
 SMALL = "/root/testdata/sf0.001"
+MIDDLE = "/root/testdata/sf0.01"
 
 
 def brute_measures(text):
@@ -86,6 +87,33 @@ def test_quality_query(spark):
     assert {r.doc_id: tuple(r)[1:7] for r in got} == {i: brute_measures(t) for i, t in texts.items()}
 
 
+def test_probabilities_follow_from_the_votes(spark):
+    measured = spark.read.parquet(f"{SMALL}/documents.parquet").select(quality_votes.text_measures("text").alias("m"))
+    m = F.col("m")
+    learned = quality_votes.learn_accuracies(measured, m)
+    votes = F.array(*[rule.vote(m) for rule in quality_votes.RULES]).alias("votes")
+    for r in measured.select(votes, quality_votes.probability(m, learned).alias("p")).collect():
+        share = [np.log(g / (1 - b)) for v, g, b in zip(r.votes, learned.on_good, learned.on_bad) if v > 0]
+        odds = np.log(learned.good_share / (1 - learned.good_share)) + (np.mean(share) if share else 0)
+        odds += sum(np.log((1 - g) / b) for v, g, b in zip(r.votes, learned.on_good, learned.on_bad) if v < 0)
+        p = 1 / (1 + np.exp(-odds))
+        assert abs(r.p - (p if min(r.votes) < 0 else max(p, 0.5))) < 1e-9
+
+
+def test_verdicts_against_labels(spark):
+    """No more bad texts stay, and no fewer good ones, than if every rule had to pass."""
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    rows, name = quality_votes.judged(spark.read.parquet(f"{MIDDLE}/documents.parquet").join(labels, "doc_id"))
+    j = F.col(name)
+    passes = ~j.getField("base_failed") & (F.least(*[rule.vote(j) for rule in quality_votes.RULES]) >= 0)
+    counts = {
+        r.label: (r.kept, r.passed)
+        for r in rows.filter("label IN (0, 1)").groupBy("label")
+        .agg(F.count_if(j.getField("kept")).alias("kept"), F.count_if(passes).alias("passed")).collect()
+    }
+    assert counts[0][0] <= counts[0][1] and counts[1][0] >= counts[1][1]
+
+
 def brute_contaminated(docs, items):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = {}
