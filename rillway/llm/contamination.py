@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from rillway.sources.fields import named
 
-# 1: the word at this place counts, 0: any word will do. Of 12 words up to 4 may be substituted.
-MASKS = ("111010011011", "110110010111", "101101110011")
+# 1: the word at this place counts, 0: any word will do. The 12 places are in four groups of three, and each mask
+# leaves out two groups, so any two substituted words are missed by a mask. The groups are chosen such that
+# also any 3 substituted words of 15 to 19, and any 4 of 20 to 24, are missed by a mask at some place.
+MASKS = ("001101110100", "101000010111", "011010011100", "100101100011", "010111101000", "110010001011")
 SPAN = 12
-# An item of fewer words is searched for as a whole; one below MIN_ITEM is too short to tell.
+# An item of fewer words is searched for as a whole, word by word; one below MIN_ITEM is too short to tell.
 MIN_ITEM = 5
 STRETCH = 24
 AGREE_PERCENT = 80
@@ -28,8 +30,11 @@ def _masks(short_lengths: list[int]) -> dict[str, list[int]]:
     return {m: [i for i, bit in enumerate(m) if bit == "1"] for m in [*MASKS, *("1" * n for n in short_lengths)]}
 
 
-def _seeds(frame: DataFrame, keep: list[str], masks: dict[str, list[int]]) -> DataFrame:
-    """(keep, words, place, h): a hash per mask and place of ``words`` where the mask fits."""
+def _seeds(frame: DataFrame, keep: list[str], masks: dict[str, list[int]], of_items: bool = False) -> DataFrame:
+    """(keep, words, place, h): a hash per mask and place of ``words`` where the mask fits.
+
+    Of items, a mask of fewer than SPAN words is for those of as many words only.
+    """
     shortest = min(len(m) for m in masks)
     # Unpacking a one-element array makes ``words`` a value that the places below share; as a plain
     # projection it would be computed again for every place.
@@ -40,7 +45,8 @@ def _seeds(frame: DataFrame, keep: list[str], masks: dict[str, list[int]]) -> Da
     for number, (mask, ones) in enumerate(masks.items()):
         picked = [F.get("words", F.col("place") + i) for i in ones]
         h = F.xxhash64(F.lit(number), *picked)
-        hashes.append(h if len(mask) == shortest else F.when(F.size("words") >= F.col("place") + len(mask), h))
+        fits = F.size("words") == len(mask) if of_items and len(mask) < SPAN else F.size("words") >= F.col("place") + len(mask)
+        hashes.append(F.when(fits, h))
     return at.select(*keep, "words", "place", F.explode(F.array(*hashes)).alias("h"))
 
 
@@ -51,8 +57,9 @@ def contaminated(
 
     Words are lower-case runs of letters and digits. A document holds an item if, in some alignment
     without gaps, a stretch of 24 aligned words (of all words, for shorter items) agrees in at least
-    80 %. Alignments come from equal hashes under one of three masks that ignore 4 of 12 words; for
-    each, every word of the overlap is compared, so substituted words inside do not hide it. The
+    80 %; an item of 5 to 11 words has to agree in full. Alignments come from equal hashes under one of six
+    masks that ignore 6 of 12 words: one of them meets every such alignment, so none is lost, and what
+    is found of an item does not depend on other items. For each alignment every word of the overlap is compared. The
     alignment with the most equal words is reported, the first of equals; ``place`` is where its
     first item word falls in the document, and is negative if the document begins inside the item.
 
@@ -68,7 +75,7 @@ def contaminated(
     # At most SPAN - MIN_ITEM different numbers.
     short = sorted(r.n for r in b.filter(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())
     masks = _masks(short)
-    item_seeds = _seeds(b, ["item"], masks).filter("h IS NOT NULL").select("h", "item", F.col("place").alias("item_place"), F.size("words").alias("n")).distinct()
+    item_seeds = _seeds(b, ["item"], masks, of_items=True).filter("h IS NOT NULL").select("h", "item", F.col("place").alias("item_place"), F.size("words").alias("n")).distinct()
     if item_seeds.count() <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
     begin = F.col("place") - F.col("item_place")

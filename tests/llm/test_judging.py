@@ -3,6 +3,7 @@
 import base64
 import datetime as dt
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -128,16 +129,37 @@ def brute_contaminated(docs, items):
                 low, high = max(begin, 0), min(begin + len(b), len(d))
                 same = [d[p] == b[p - begin] for p in range(low, high)]
                 length = min(len(b), contamination.STRETCH)
-                masks = [m for m in contamination.MASKS] + (["1" * len(b)] if len(b) < contamination.SPAN else [])
-                seed = any(all(same[i + k] for k, bit in enumerate(m) if bit == "1") for m in masks for i in range(len(same) - len(m) + 1))
-                good = any(100 * sum(same[i : i + length]) >= contamination.AGREE_PERCENT * length for i in range(len(same) - length + 1))
-                if seed and good and (best is None or sum(same) > best[1]):
+                percent = contamination.AGREE_PERCENT if len(b) >= contamination.SPAN else 100
+                good = any(100 * sum(same[i : i + length]) >= percent * length for i in range(len(same) - length + 1))
+                if good and (best is None or sum(same) > best[1]):
                     best = (begin, sum(same), len(b))
             if best:
                 out[doc, item] = max(out.get((doc, item), best), best, key=lambda x: (x[1], -x[0]))
     return sorted((*k, *v) for k, v in out.items())
 
 
+@pytest.mark.parametrize("length", range(contamination.SPAN, contamination.STRETCH + 1))
+def test_masks_meet_every_alignment(length):
+    """All placements of as many substituted words as the rule allows."""
+    masks = [sum(1 << i for i, bit in enumerate(m) if bit == "1") for m in contamination.MASKS]
+    allowed = length - -(-contamination.AGREE_PERCENT * length // 100)
+    changed = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(length), allowed)])
+    met = [(changed & (m << place)) == 0 for m in masks for place in range(length - contamination.SPAN + 1)]
+    assert np.any(met, axis=0).all()
+
+
+def test_substitutions_are_found_whatever_other_items_there_are(spark):
+    rng = random.Random(12)
+    item = [f"w{i}" for i in range(12)]
+    swaps = [c for k in (1, 2) for c in itertools.combinations(range(12), k)]
+    docs = [(i, prose(rng, 9) + " " + " ".join("other" if j in c else w for j, w in enumerate(item)) + " " + prose(rng, 9)) for i, c in enumerate(swaps)]
+    docs.append((1000, "five short words of one " + prose(rng, 30)))
+    for more in ([], [(2, "five short words of one"), (3, prose(rng, 7))]):
+        got = contamination.contaminated(frame(spark, docs), frame(spark, [(1, " ".join(item)), *more], doc_id="item_id")).collect()
+        assert sorted(r.doc_id for r in got if r.item_id == 1) == list(range(78))
+        assert [r.doc_id for r in got if r.item_id == 2] == [1000] * bool(more)
+
+
 def test_contamination_on_odd_rows(spark):
     rng = random.Random(4)
     items = [(1, prose(rng, 40)), (2, prose(rng, 16)), (3, prose(rng, 8)), (4, "too short"), (5, None), (None, prose(rng, 30)), (6, ""), (7, prose(rng, 60))]
