@@ -22,6 +22,8 @@ RANKS = 128
 BAND_RANKS = 4
 # Shingles of at most so many open texts count as rare.
 RARE = 4
+# Longs of a text's parities: one bit per class of shingles, whether it has an odd number of them.
+PARITY_LONGS = 16
 # Members that one copy of a centre's text is compared with.
 CENTRE_LOAD = 256
 
@@ -180,7 +182,10 @@ def _possible(between: DataFrame, near: DataFrame, sizes: DataFrame) -> DataFram
     min(n_x - rare_x, n_y - rare_y) + both, where rare counts a set's shingles that at most RARE open
     texts have, and both those that x and y have in common. Pairs with a rare shingle in common come
     from a join on rare shingles, which makes at most RARE / 2 pairs per row; for all other pairs of
-    a bucket both is 0. Pairs below the bound are not linked, so leaving them out loses nothing.
+    a bucket both is 0. Those are counted closer: the other shingles fall into classes, and each class of which one of
+    x and y has an odd number and the other an even one holds a shingle that is in one of them only. With d such
+    classes they share at most (m_x + m_y - d) / 2 of their m_x and m_y other shingles. Pairs below a bound are not
+    linked, so leaving them out loses nothing.
     """
     spark = between.sparkSession
     part = between.select("b", "component").distinct()
@@ -207,16 +212,30 @@ def _possible(between: DataFrame, near: DataFrame, sizes: DataFrame) -> DataFram
     by_shingle = met.groupBy("a", "b", "n_a", "n_b", "rare_a", "rare_b").agg(F.count("*").alias("both")).filter(bounded("both")).select("a", "b")
 
     facts = known.filter("4 * rare <= n").select(F.col("id").alias("b"), "n", "rare")
-    rows = _mixed(between.join(facts, "b"))
+    # Written, as the rows are read again for the main components, those outside of them, and the others.
+    path = scratch_path(spark, "facts")
+    _mixed(between.join(facts, "b")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    common = grams.join(rows.select(F.col("b").alias("id")), "id", "left_semi").join(seldom, "gram", "left_anti")
+    parity = [
+        F.expr(f"bit_xor(IF((shiftright(gram, 6) & {PARITY_LONGS - 1}) = {k}, shiftleft(1L, CAST(gram & 63 AS INT)), 0L)) AS s{k}")
+        for k in range(PARITY_LONGS)
+    ]
+    path = scratch_path(spark, "parities")
+    rows.join(common.groupBy(F.col("id").alias("b")).agg(F.count("*").alias("m"), *parity), "b").write.parquet(path)
+    rows = spark.read.parquet(path)
     largest = (
         rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         .groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     )
+    own = ["n", "rare", "m", *(f"s{k}" for k in range(PARITY_LONGS))]
     few = rows.join(largest, "bucket").filter("component <> main").select(
-        "bucket", F.col("b").alias("p"), F.col("component").alias("c"), F.col("n").alias("n_a"), F.col("rare").alias("rare_a")
+        "bucket", F.col("b").alias("p"), F.col("component").alias("c"), *(F.col(x).alias(f"{x}_a") for x in own)
     )
-    others = rows.withColumnsRenamed({"n": "n_b", "rare": "rare_b"})
-    by_bucket = few.join(others, "bucket").filter("component <> c AND " + bounded("0")).select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b"))
+    others = rows.withColumnsRenamed({x: f"{x}_b" for x in own})
+    odd = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(PARITY_LONGS))
+    closer = f"7 * (m_a + m_b - ({odd})) >= 6 * (n_a + n_b)"
+    by_bucket = few.join(others, "bucket").filter(f"component <> c AND {bounded('0')} AND {closer}").select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b"))
     return by_shingle.unionByName(by_bucket).distinct()
 
 

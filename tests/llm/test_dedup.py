@@ -69,6 +69,29 @@ def test_near_duplicates_with_borderline_groups(spark):
     check_near(rows, near_duplicates.near_duplicates(frame(spark, rows)).collect())
 
 
+def test_a_group_below_the_border_makes_few_pairs_to_verify(spark, monkeypatch):
+    """Copies of one text, most with so many changes of their own that they are linked to no other: counts of rare
+    shingles leave nearly all of their pairs open."""
+    rng = random.Random(3)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k, at in enumerate(rng.sample(range(150), 1 if i % 3 else 4 + i % 2)):
+            words[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    made, verify = [], near_duplicates._verify
+
+    def counted(pairs, texts):
+        made.append(pairs.count())
+        return verify(pairs, texts)
+
+    monkeypatch.setattr(near_duplicates, "_verify", counted)
+    got = near_duplicates.near_duplicates(frame(spark, rows)).collect()
+    check_near(rows, got)
+    assert 10 < len({r.component_id for r in got}) and made[1] <= 20
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.near_duplicates(frame(spark, []).limit(0)).collect() == []
 
