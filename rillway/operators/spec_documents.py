@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from rillway.functions.binding import let
 from rillway.functions.text import count_lines, strip
 from rillway.operators.arrays import rows_of
+from rillway.session import scratch_path
 from rillway.sources.fields import named
 
 SETS = ("columns", "filters", "joins", "calculations", "string_ops")
@@ -146,18 +147,29 @@ def step_inventory(docs: DataFrame, key: str = "file", xml: str = "xml") -> Data
     Steps of one depth of nesting are read at a time, as a path can tell them from steps inside them.
     Documents with a document type definition, and those whose names have an undeclared entity, do not parse.
     """
-    readable = docs.select(named(key), _readable(named(xml)).alias("_xml")).filter("_xml IS NOT NULL")
+    spark = docs.sparkSession
+    nested = F.xpath_boolean("_xml", F.lit("boolean(//step//step)"))
+    path = scratch_path(spark, "readable")
+    # Written, as parsing costs more than anything after it; the outer form parses a document once (see ``rows_of``).
+    parsed = rows_of(docs, key, F.array(_readable(named(xml))), item="_xml").filter("_xml IS NOT NULL")
+    parsed.withColumn("_nested", nested).write.parquet(path)
+    readable = spark.read.parquet(path)
     depths = 1
-    while not readable.filter(F.xpath_boolean("_xml", F.lit("boolean(" + "//step" * (depths + 1) + ")"))).isEmpty():
+    inner = readable.filter("_nested")
+    while not inner.filter(F.xpath_boolean("_xml", F.lit("boolean(" + "//step" * (depths + 1) + ")"))).isEmpty():
         depths += 1
-    found = []
-    for depth in range(depths):
+
+    def steps_at(depth: int) -> Column:
         steps = f"/{_ROOT}/*//step[count(ancestor::step) = {depth}]"
-        found.append(F.arrays_zip(
+        return F.arrays_zip(
             _child_texts(F.col("_xml"), steps, "name", "UnknownStep").alias("name"),
             _child_texts(F.col("_xml"), steps, "type", "UnknownType").alias("type"),
-        ))
-    return rows_of(readable, key, F.concat(*found), item="step").select(named(key), "step.*")
+        )
+
+    found = steps_at(0)
+    if depths > 1:
+        found = F.when(F.col("_nested"), F.concat(*[steps_at(depth) for depth in range(depths)])).otherwise(found)
+    return rows_of(readable, key, found, item="step").select(named(key), "step.*")
 
 
 def _sorted_set(items: Column) -> Column:

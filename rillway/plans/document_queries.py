@@ -44,7 +44,9 @@ def part_specs(spark: SparkSession, d: str) -> DataFrame:
     )
     head = _tag("info", _tag("name", escape_markup(F.col("p_name"))))
     body = F.concat(F.lit("\n"), head, F.lit("\n"), first, F.lit("\n"), second, F.lit("\n"))
-    return table(spark, d, "part").select(
+    # A few megabytes of parts become many more of documents: one task reads them, all tasks make and parse documents.
+    parts = table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return parts.select(
         "p_partkey",
         F.concat(F.lit("Part-"), F.col("p_partkey").cast("string")).alias("name"),
         # Every eleventh document is cut off and does not parse.

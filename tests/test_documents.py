@@ -12,6 +12,7 @@ from rillway.operators.quality import (
 )
 from rillway.operators.scoring import expected_features, presence_score, route_by_score
 from rillway.operators.spec_documents import SETS, complexity, element_sets, step_inventory
+from rillway.plans.document_queries import part_specs, q_xml_inventory
 from rillway.plans.reports import folder_steps, run_complexity_report, run_quality_report
 
 JOIN_SPEC = """<?xml version="1.0"?>
@@ -285,3 +286,11 @@ def test_overwriting_programs(spark, tmp_path):
         ("big_job_1", "corrected", "HUNK", "", "@@ -1,2 +1,2 @@"), ("big_job_1", "corrected", "DIFF_DELETE", "df.join(a === b)", ""),
         ("big_job_1", "corrected", "DIFF_INSERT", "", "df.join(a == b)"), ("small", "generated", None, None, None),
     ]
+
+
+def test_documents_of_one_file_of_parts_are_parsed_by_several_tasks(spark, tmp_path):
+    columns = ["id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 50 AS INT) AS p_size"]
+    spark.range(200).selectExpr(*columns).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    in_task = part_specs(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(in_task) > 1 and sum(r["count"] for r in in_task) == 200
+    assert q_xml_inventory(spark, str(tmp_path)).count() == 2 * sum(k % 11 != 10 for k in range(200))
