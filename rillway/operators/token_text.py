@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillway.functions.text import NOT_SPACE, SPACE, strip
 from rillway.operators.arrays import rows_of
 from rillway.operators.ordering import running_totals
+from rillway.session import scratch_path
 from rillway.sources.fields import named
 
 # Fixed value: tokens per block.
@@ -42,11 +43,13 @@ def corpus_blocks(df: DataFrame, key: str, text: str, size: int = BLOCK) -> Data
     unique; blank and null texts add nothing. How many tokens lie before a document comes from running totals over
     (key, number of tokens), so no task sees the whole corpus. A document is cut within its row where its blocks
     end; complete ones stay where they are, and only the up to two incomplete ends of a document are shuffled, to
-    meet in their block.
+    meet in their block. The counts are written, as drawing ranges reads them twice.
     """
     docs = df.select(named(key).alias("_doc"), named(text).alias("_text"))
     counts = docs.select(F.col("_doc").alias("_key"), F.regexp_count("_text", F.lit(f"{NOT_SPACE}++")).cast("long").alias("_n"))
-    totals = running_totals(counts.filter("_n > 0"), ["_key"], {"_end": F.col("_n")})
+    path = scratch_path(df.sparkSession, "counts")
+    counts.write.parquet(path)
+    totals = running_totals(df.sparkSession.read.parquet(path).filter("_n > 0"), ["_key"], {"_end": F.col("_n")})
     placed = docs.join(totals, F.col("_doc").eqNullSafe(F.col("_key")))
     # A filler token for each token that is in the first block already keeps the grid of blocks.
     before = F.col("_end") - F.col("_n")
@@ -56,9 +59,10 @@ def corpus_blocks(df: DataFrame, key: str, text: str, size: int = BLOCK) -> Data
     runs = rows_of(rows, "_before", F.regexp_extract_all("_filled", F.lit(run), F.lit(0)), item="_run", position="_at")
     first = F.when(F.col("_at") == 0, F.col("_before") % size).otherwise(0).cast("int")
     block = F.floor(F.col("_before") / F.lit(size)).cast("long") + F.col("_at")
-    pieces = runs.select("_before", block.alias("block"), first.alias("_first"), tokens_of(F.col("_run")).alias("_all")).select(
-        "_before", "block", F.slice("_all", F.col("_first") + 1, F.size("_all") - F.col("_first")).alias("tokens")
-    )
+    cut = runs.select(F.struct("_before", block.alias("block")).alias("_place"), first.alias("_first"), tokens_of(F.col("_run")).alias("_all"))
+    # Exploded from an array of one, or the filters on sizes would cut every run a second time.
+    own = F.array(F.slice("_all", F.col("_first") + 1, F.size("_all") - F.col("_first")))
+    pieces = rows_of(cut, "_place", own, item="tokens").select("_place.*", "tokens")
     whole = pieces.filter(F.size("tokens") == size).select("block", "tokens")
     ends = pieces.filter(F.size("tokens") < size).groupBy("block").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_before", "tokens"))), lambda p: p["tokens"])).alias("tokens")

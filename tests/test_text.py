@@ -338,3 +338,13 @@ def test_prompts(spark, rows):
     pairs = next_turn(turns, "conv", "turn", "role", "user", "assistant", "text")
     assert rows(pairs) == [(1, 1, " Q1 ", "A1"), (1, 4, "Q3", "\u2003")]
     assert rows(prompt_dataset(pairs, "prompt", "completion")) == [("q1", "a1")]
+
+
+def test_corpus_blocks_count_texts_once_and_cut_them_before_filters(spark):
+    df = spark.createDataFrame([(i, "a b c\td " * i) for i in range(40)], "i long, t string")
+    blocks = corpus_blocks(df, "i", "t", size=7)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_count" not in plan and not any("split(" in line for line in plan.splitlines() if "Filter " in line)
+    got = sorted(blocks.collect(), key=lambda r: r.block)
+    words = [w for i in range(40) for w in ("a b c\td " * i).split()]
+    assert [w for r in got for w in r.tokens] == words and all(r.n_tokens == 7 for r in got[:-1])
