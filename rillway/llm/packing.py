@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ class Memory:
         """Those of the keys that are not remembered; all others are in ``known`` then, until the next call."""
         if self.size > self.most:
             self.known, self.older, self.size = {}, self.known, 0
-        absent = {k for k in keys if k not in self.known}
+        absent = set(filterfalse(self.known.__contains__, keys))
         again = {k: v for k in absent if (v := self.older.get(k)) is not None}
         self.add(again.items())
         return [k for k in absent if k not in again]
@@ -52,6 +53,31 @@ class Memory:
             self.size += len(key) + len(value) + ENTRY_BYTES
 
 
+# Up to here all Unicode versions class characters alike.
+SURE_CHARS = 0x558
+
+
+def spelled_out(pattern: str) -> str:
+    """A pattern of ``regex`` with its character classes as ranges, which ``re`` knows, for texts below SURE_CHARS."""
+    import regex
+
+    def ranges(name: str) -> str:
+        fits = [bool(regex.fullmatch(name, chr(c))) for c in range(SURE_CHARS)]
+        starts = [c for c, x in enumerate(fits) if x and not (c and fits[c - 1])]
+        ends = [c for c, x in enumerate(fits) if x and not (c + 1 < SURE_CHARS and fits[c + 1])]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+    name = r"\\(?:p\{\w+\}|[sS])"
+
+    def spelled(found) -> str:
+        part = found[0]
+        if part[0] == "[":
+            return regex.sub(name, lambda inner: ranges(inner[0]), part)
+        return f"[{ranges(part)}]" if regex.fullmatch(name, part) else part
+
+    return regex.sub(rf"\[(?:\\.|[^\]\\])*\]|{name}|\\.", spelled, pattern)
+
+
 @cache
 def _encoder(path: str, pattern: str):
     """Text to the bytes of its little-endian 32-bit ids.
@@ -68,7 +94,6 @@ def _encoder(path: str, pattern: str):
     """
     import re
 
-    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -76,9 +101,9 @@ def _encoder(path: str, pattern: str):
     # With these flags a token takes in, or depends on, what stands beside it.
     plain = not any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added.values())
     between = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
-    split = regex.compile(pattern).findall
+    split = re.compile(spelled_out(pattern)).findall
     cut = re.compile(r"(?<=\S)(?= )").split
-    unsure = re.compile(r"[^\0-\u0557]").search
+    unsure = re.compile(f"[^\0-{chr(SURE_CHARS - 1)}]").search
     memory = Memory()
 
     def pre_tokens(text: str) -> list[str]:

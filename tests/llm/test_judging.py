@@ -394,3 +394,19 @@ def test_archives_round_trip(spark, chunk):
     assert nothing.count() == 0 and warc.read_records(nothing).collect() == []
     all_responses = warc.write_archives(pages, scratch_path(spark, "warc"), min_revisit_bytes=5)
     assert all(r.record_type == "response" for r in warc.read_records(all_responses).filter("payload_bytes < 5").collect())
+
+
+def test_spelled_out_patterns_split_alike(encode):
+    import re
+
+    import regex
+
+    pattern = public_tokenizers.PATTERN
+    spelled = packing.spelled_out(pattern)
+    assert r"\p" not in spelled and r"\s" not in spelled
+    rng = random.Random(11)
+    chars = [chr(c) for c in range(packing.SURE_CHARS)]
+    near = "'stvelmrd \t\n\x1c\x85\xa019aé²"
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice((chars, near))) for _ in range(30))
+        assert re.findall(spelled, text) == regex.findall(pattern, text), repr(text)
