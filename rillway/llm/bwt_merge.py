@@ -42,7 +42,7 @@ def transform(strings: list[bytes], first_number: int = 0) -> Transform:
         key <<= bits
         key[: max(0, n - i)] |= symbols[i:]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate([[0], key[order][1:] != key[order][:-1]])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh)
@@ -114,8 +114,10 @@ def merge_repeats(shards: list[Transform], depth: int = DEPTH) -> tuple[np.ndarr
     before = np.concatenate([t.before for t in shards]) if shards else np.empty(0, np.uint16)
     longer = np.empty(len(before), np.int32)
     for t, base in zip(shards, sizes):
-        # Rows by (string, place); the next longer suffix is the one before in the text.
-        by_text = np.lexsort((t.place, t.string))
+        # Rows by (string, place), of which each stands once; the next longer suffix is the one before in the text.
+        size = np.bincount(t.string - t.string.min(initial=0))
+        by_text = np.empty(len(t.before), np.int64)
+        by_text[(np.cumsum(size) - size)[t.string - t.string.min(initial=0)] + t.place] = np.arange(len(t.before))
         longer[base + by_text[1:]] = base + by_text[:-1]
     row, group = np.arange(len(before), dtype=np.int32), np.zeros(len(before), np.int32)
     for _ in range(depth):

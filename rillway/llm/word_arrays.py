@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@cache
+def _kept_powers(base: int) -> np.ndarray:
+    return powers(base, CHUNK_BYTES + 1)
+
+
 class Rolling:
     """Hashes of stretches of one array from running sums, each in constant time.
 
@@ -49,12 +55,18 @@ class Rolling:
 
     def __init__(self, values: np.ndarray, base: int = 0x9E3779B97F4A7C15):
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers(base, len(values)), out=self.sums[1:])
-        self.undo = powers(pow(base, -1, 1 << 64), len(values) + 1)
+        n, undo = len(values), pow(base, -1, 1 << 64)
+        weights, self.undo = (_kept_powers(b)[: n + 1] if n <= CHUNK_BYTES else powers(b, n + 1) for b in (base, undo))
+        np.cumsum(values * weights[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.undo[start] + (end - start).astype(np.uint64))
 
+    def each(self, size: int) -> np.ndarray:
+        """Of all stretches of one size."""
+        n = max(0, len(self.sums) - size)
+        return mix((self.sums[size : size + n] - self.sums[:n]) * self.undo[:n] + np.uint64(size))
+
 
 @dataclass
 class Words:

@@ -204,6 +204,40 @@ def test_bytes_on_odd_rows(spark, monkeypatch, most):
     assert repeated_bytes.repeat_spans(frame(spark, []).limit(0)).collect() == []
 
 
+def test_a_frequent_anchor_sends_one_row_a_batch_to_its_hash():
+    """The others go anywhere, so neither a sample of the anchors nor a range through a hash is needed."""
+    rng = random.Random(4)
+    line = "a passage that stands in every text of the table, of about a hundred and thirty bytes, in the very same words each time, always"
+    texts = [f"{prose(rng, 30)} {line} {prose(rng, 30)}" for _ in range(60)]
+    batches = [pa.record_batch([pa.array(range(i, i + 30)), pa.array(texts[i : i + 30])], ["k1", "text"]) for i in (0, 30)]
+    rows = [tuple(r.values()) for b in repeated_bytes._anchors(iter(batches)) for r in b.to_pylist()]
+    frequent = [r for r in rows if sum(r[0] == x[0] for x in rows) == 60]
+    kinds = [r[3] for r in frequent if r[0] == frequent[0][0]]
+    assert kinds.count(repeated_bytes.MET) == 2 and kinds.count(repeated_bytes.SPREAD) == 58
+    parts = [sorted(r for r in rows if (r[3] == repeated_bytes.SPREAD) == spread) for spread in (False, True)]
+    names = ["h", "k1", "place", "met"]
+    got = set()
+    for part in parts:
+        cut = [part[i : i + 7] for i in range(0, len(part), 7)]
+        columns = [pa.record_batch([pa.array(c, k) for c, k in zip(zip(*p), (pa.int64(), pa.int64(), pa.int32(), pa.int8()))], names) for p in cut]
+        got |= {tuple(r.values()) for b in repeated_bytes._shared(iter(columns)) for r in b.to_pylist()}
+    assert got == {r[1:3] for r in rows if sum(r[0] == x[0] for x in rows) > 1}
+
+
+def test_runs_hold_all_windows_and_follow_their_bytes():
+    rng = random.Random(5)
+    texts = [b"", b"ab" * 90, prose(rng, 60).encode(), b"x" * 99, b"x" * 100, prose(rng, 40).encode(), b"", b"short"]
+    part, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    for gram in (repeated_bytes.GRAM, repeated_bytes.NARROW_GRAM):
+        _, _, (owner, first, last, anchor) = repeated_bytes._runs_of(part, bounds, gram)
+        windows = [(o, w, a) for o, s, e, a in zip(owner, first, last, anchor) for w in range(s, e + 1)]
+        assert [w[:2] for w in windows] == [(o, b + i) for o, (b, t) in enumerate(zip(bounds, texts)) for i in range(len(t) - 99)]
+        at = defaultdict(set)
+        for _, w, a in windows:
+            at[bytes(part[w : w + 100])].add(a - w)
+        assert all(len(v) == 1 and 0 <= min(v) <= 100 - gram for v in at.values())
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_merged_transforms_find_all_repeats(monkeypatch, seed):
     rng = random.Random(seed)
