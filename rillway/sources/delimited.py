@@ -57,15 +57,21 @@ def read_delimited(
         reader = reader.option("pathGlobFilter", glob)
     if not header:
         reader = reader.schema(", ".join(f"`{f.name}` STRING" for f in fields))
+    paths = path if isinstance(path, str) else list(path)
     try:
-        raw = reader.csv(path if isinstance(path, str) else list(path))
+        if header and exclude:
+            # Fields are found by opening files, so names are listed without them first.
+            names = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob or "*").text(paths)
+            listed = names.inputFiles()
+        else:
+            raw = reader.csv(paths)
+            listed = raw.inputFiles() if header or exclude else []
     except AnalysisException as error:
         if required or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], struct_of(fields))
-    parts = [raw]
+    parts = []
     if header or exclude:
-        listed = raw.inputFiles()
         files = [f for f in listed if not exclude or not fnmatch.fnmatchcase(_base_name(f), exclude)]
         if not files:
             return spark.createDataFrame([], struct_of(fields))
@@ -73,6 +79,8 @@ def read_delimited(
         by_header = _files_by_header(spark, files, encoding) if header else {"": files}
         if len(by_header) > 1 or len(files) < len(listed):
             parts = [_plain(reader).csv(some) for some in by_header.values()]
+    if not parts:
+        parts = [reader.csv(paths) if header and exclude else raw]
     chosen = []
     for part in parts:
         missing = [f.name for f in fields if f.name not in part.columns]

@@ -152,6 +152,16 @@ def test_excluded_files_are_not_opened(spark, tmp_path, rows):
     assert rows(plain) == [("1",), ("id",)]
 
 
+def test_excluded_files_are_not_opened_for_their_fields(spark, tmp_path, rows):
+    """Whoever runs this: a file that is no archive fails when it is opened, also for the superuser."""
+    put(tmp_path / "in" / "b.csv.gz", "no archive")
+    assert rows(read_delimited(spark, str(tmp_path / "in"), [Field("id")], exclude="b*")) == []
+    put(tmp_path / "in" / "c.csv", "id\n3\n")
+    assert rows(read_delimited(spark, str(tmp_path / "in"), [Field("id")], exclude="b*")) == [("3",)]
+    assert rows(read_delimited(spark, str(tmp_path / "in"), [Field("id")], exclude="z*", glob="c*")) == [("3",)]
+    assert rows(read_delimited(spark, str(tmp_path / "none"), [Field("id")], exclude="z*", required=False)) == []
+
+
 def folder_texts(folder):
     return {p.name: p.read_text() for p in folder.iterdir() if not p.name.startswith(".")}
 
