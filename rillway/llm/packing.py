@@ -22,6 +22,8 @@ CAPACITY = 2048
 END_ID = 0
 # Bytes that a worker process may take to remember the ids of pre-tokens.
 REMEMBERED_BYTES = 96 << 20
+# Characters of texts that are looked up together: new pre-tokens go to the tokenizer in few calls.
+TOGETHER = 1 << 18
 # What an entry takes besides its key and value.
 ENTRY_BYTES = 200
 
@@ -30,7 +32,7 @@ class Memory:
     """Ids by text, as many as fit a bound of bytes: the latest used.
 
     Two halves: when the newer one is full, it becomes the older one, which is forgotten but for what is asked for
-    again. One text's own parts are held whatever their size, until the next text.
+    again. The parts of texts looked up together are held whatever their size, until the next ones.
     """
 
     def __init__(self, most: int = REMEMBERED_BYTES):
@@ -78,12 +80,20 @@ def spelled_out(pattern: str) -> str:
     return regex.sub(rf"\[(?:\\.|[^\]\\])*\]|{name}|\\.", spelled, pattern)
 
 
+def one_quote(pattern: str) -> str:
+    """The same pattern with its leading alternatives that begin with a quote as one: others are ruled out by one look."""
+    import re
+
+    found = re.match(r"(?:'\w+\|){2,}", pattern)
+    return f"'(?:{found[0][:-1].replace("'", "")})|{pattern[found.end() :]}" if found else pattern
+
+
 @cache
-def _encoder(path: str, pattern: str):
-    """Text to the bytes of its little-endian 32-bit ids.
+def _encoder_of_many(path: str, pattern: str):
+    """Texts to the bytes of their little-endian 32-bit ids, one by one.
 
     Byte-level BPE never merges across the pre-tokens that ``pattern`` finds, so ids are looked up
-    per pre-token and only new ones go to the tokenizer. Characters that Unicode versions class
+    per pre-token and only new ones go to the tokenizer, those of some texts together and as lines of one. Characters that Unicode versions class
     differently are left to the tokenizer, with the part of the text around them: a pre-token that holds a
     space behind another character is white space only, so a text may be cut before each space
     that follows another than a white-space character.
@@ -101,9 +111,11 @@ def _encoder(path: str, pattern: str):
     # With these flags a token takes in, or depends on, what stands beside it.
     plain = not any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added.values())
     between = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
-    split = re.compile(spelled_out(pattern)).findall
+    split = re.compile(spelled_out(one_quote(pattern))).findall
     cut = re.compile(r"(?<=\S)(?= )").split
     unsure = re.compile(f"[^\0-{chr(SURE_CHARS - 1)}]").search
+    # Between line ends such a pre-token stays one, with the same ids, and the line ends stay tokens of their own.
+    solid = re.compile(" ?[!-~\u00a1-\u0557]+").fullmatch
     memory = Memory()
 
     def pre_tokens(text: str) -> list[str]:
@@ -111,37 +123,78 @@ def _encoder(path: str, pattern: str):
             return split(text)
         return [p for part in cut(text) for p in ([part] if unsure(part) else split(part))]
 
-    def looked_up(text: str) -> bytes:
-        parts = pre_tokens(text)
-        new = memory.missing(parts)
-        for low in range(0, len(new), 1000):
-            some = new[low : low + 1000]
-            found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            memory.add((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found))
-        return b"".join(map(memory.known.__getitem__, parts))
+    def encoded(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    line_end = encoded(["\n"])[0]
+
+    def lines_encoded(lines: list[str]) -> list[bytes]:
+        """As ``encoded``, of pre-tokens for which ``solid`` holds, as one text."""
+        ids = np.frombuffer(encoded(["\n" + "\n".join(lines)])[0], "<u4")
+        ends = np.flatnonzero(ids == np.frombuffer(line_end, "<u4")) * 4 if len(line_end) == 4 else ()
+        if len(ends) != len(lines):
+            return encoded(lines)
+        raw, ends = ids.tobytes(), [*ends.tolist(), len(ids) * 4]
+        return [raw[start + 4 : end] for start, end in zip(ends, ends[1:])]
+
+    def learn(new: list[str]) -> None:
+        lines = [p for p in new if solid(p)]
+        others = [p for p in new if not solid(p)] if len(lines) < len(new) else []
+        for some, encode_some in ((lines, lines_encoded), (others, encoded)):
+            for low in range(0, len(some), 1000):
+                part = some[low : low + 1000]
+                memory.add(zip(part, encode_some(part)))
+
+    def looked_up(texts: list[str]) -> list[bytes]:
+        parts = [pre_tokens(t) for t in texts]
+        found = [list(map(memory.known.get, p)) for p in parts]
+        places = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        learn(memory.missing([p[i] for p, at in zip(parts, places) for i in at]))
+        for p, f, at in zip(parts, found, places):
+            for i in at:
+                f[i] = memory.known[p[i]]
+        return [b"".join(f) for f in found]
 
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(text: str) -> bytes:
-        for a in added:
-            if a in text:
-                return b"".join(whole(t) if t in added else looked_up(t) for t in between(text) if t) if plain else whole(text)
-        return looked_up(text)
+    def with_added(text: str) -> bytes:
+        return b"".join(whole(t) if t in added else looked_up([t])[0] for t in between(text) if t) if plain else whole(text)
+
+    def encode(texts: Iterable[str]) -> Iterator[bytes]:
+        held, size = [], 0
+
+        def done() -> Iterator[bytes]:
+            marked = [any(a in t for a in added) for t in held]
+            usual = iter(looked_up([t for t, m in zip(held, marked) if not m]))
+            return (with_added(t) if m else next(usual) for t, m in zip(held, marked))
+
+        for text in texts:
+            if held and size + len(text) > TOGETHER:
+                yield from done()
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        yield from done()
 
     return encode
 
 
+def _encoder(path: str, pattern: str):
+    """Of one text."""
+    return lambda text: next(_encoder_of_many(path, pattern)([text]))
+
+
 def _pieces(path: str, pattern: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, seen = _encoder(path, pattern), TaskContext.get().partitionId(), Counter()
+        encode, part, seen = _encoder_of_many(path, pattern), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + np.array([END_ID], "<u4").tobytes()
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(text.as_py() or "" for text in batch.column(1))):
+                ids += np.array([END_ID], "<u4").tobytes()
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for piece, (start, end) in enumerate(zip(cuts, cuts[1:])):

@@ -257,6 +257,36 @@ def test_ids_are_those_of_the_whole_text(encode):
         assert [*np.frombuffer(ids(text), "<u4")] == encode(text)[:-1], repr(text)
 
 
+def test_texts_looked_up_together_make_few_calls_of_the_tokenizer(encode, monkeypatch):
+    """New pre-tokens of many texts are lines of one, whatever stands between, and each text gets its own ids."""
+    import tokenizers
+
+    calls = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.inner, name)
+
+    class Source:
+        from_file = staticmethod(lambda path, load=tokenizers.Tokenizer.from_file: Counted(load(path)))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Source)
+    rng = random.Random(9)
+    many = packing._encoder_of_many.__wrapped__(public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    odd = ["", "\n", " ", "a\nb", "\n\n x", "it's 'll ''s", "\u00a0\u0558 \u2028é", "a <|endoftext|> new1 b", "\x1c\x85 \xad?!'"]
+    texts = [" ".join(f"{rng.choice('abé')}w{rng.randrange(10**6)}{rng.choice(['', '!', chr(10), '  '])}" for _ in range(40)) for _ in range(150)]
+    texts = [t for pair in zip(texts, odd * 20) for t in pair]
+    assert [[*np.frombuffer(ids, "<u4")] for ids in many(iter(texts))] == [encode(t)[:-1] for t in texts]
+    assert calls.count("encode_batch_fast") < 40
+    assert list(many([])) == []
+    monkeypatch.setattr(packing, "TOGETHER", 100)
+    assert [[*np.frombuffer(ids, "<u4")] for ids in many(texts)] == [encode(t)[:-1] for t in texts]
+
+
 def test_remembered_ids_stay_within_their_bytes(encode):
     ids = packing._encoder(public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
     small = packing.Memory(20_000)
