@@ -1,4 +1,7 @@
-"""Toxicity: a bidirectional gated recurrent network with attention over characters and words, in numpy."""
+"""Toxicity: a bidirectional gated recurrent network with attention over characters and words.
+
+It is trained in numpy; ONNX Runtime scores the windows at every word, or numpy where that is not installed.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm.quality_classifier import FIT_BYTES, bounded_sample, calibrate
+from rillway.llm.unrolled_network import session
 from rillway.llm.word_arrays import Rolling, Words, byte_values, mix, split_words
 from rillway.session import scratch_path
 from rillway.sources.fields import named
@@ -31,6 +35,8 @@ EPOCHS = 12
 # Windows that go through the network together: any ones, and such as begin at consecutive words.
 BATCH = 4096
 RUN = 1024
+# ... where ONNX Runtime takes them, to which each of the graph's nodes is a call.
+GRAPH_RUN = 2048
 
 
 @dataclass
@@ -265,7 +271,31 @@ def odds_at_every_word(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarra
     """Log-odds of all windows of WINDOW words in the row of words ``of``, which point into the rows of ``x``.
 
     The same as ``forward``: windows begin one after the other, so what step t reads of the inputs is a
-    slice of them. Arrays are (feature, window). A sigmoid is a tanh of half its argument, and those halves are
+    slice of them. Without ONNX Runtime ``odds_in_numpy`` does the same.
+    """
+    run = session(WINDOW, HIDDEN, ATTENTION)
+    if run is None:
+        return odds_in_numpy(net, x, of)
+    p, inputs_give = net.p, gates_of(net, x)
+    feed = {"query": p["query"][None]}
+    for i, side in enumerate(("f", "b")):
+        own, u = slice(i * HIDDEN, (i + 1) * HIDDEN), np.ascontiguousarray(p["u" + side].T)
+        feed |= {"u_zr_" + side: u[: 2 * HIDDEN], "u_n_" + side: u[2 * HIDDEN :]}
+        feed |= {"attend_" + side: np.ascontiguousarray(p["attend"][own].T), "out_" + side: p["out"][None, own]}
+    n_windows = len(of) - WINDOW + 1
+    out = np.empty(max(n_windows, 0), np.float32)
+    for low in range(0, n_windows, GRAPH_RUN):
+        size = min(GRAPH_RUN, n_windows - low)
+        for side, table in inputs_give.items():
+            gates = np.ascontiguousarray(table[of[low : low + size + WINDOW - 1]].T)
+            feed |= {"zr_" + side: gates[: 2 * HIDDEN], "n_" + side: gates[2 * HIDDEN :]}
+        feed |= {"start": np.zeros((HIDDEN, size), np.float32), "size": np.array([size])}
+        out[low : low + size] = run.run(["odds"], feed)[0]
+    return out + p["bias"]
+
+
+def odds_in_numpy(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """As ``odds_at_every_word``. Arrays are (feature, window). A sigmoid is a tanh of half its argument, and those halves are
     taken out of the loop; the product with a state also gives what attention and output need of it.
     """
     p, fold = net.p, np.repeat(np.float32([0.5, 1]), [2 * HIDDEN, HIDDEN])
