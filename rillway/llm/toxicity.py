@@ -29,6 +29,8 @@ CHAR_GRAMS = (3, 5, 7)
 WIDTH = 12
 HIDDEN = 12
 ATTENTION = 8
+# Bytes of training texts whose words are numbered together: it decides which random numbers leave out a vector.
+PART_BYTES = 1 << 20
 # Texts that the network is trained on, the half of them for each label.
 FIT_TEXTS = 4000
 EPOCHS = 12
@@ -369,7 +371,7 @@ class Part:
 
 def _parts(texts: list[str]) -> list[Part]:
     out = []
-    for words in split_words(pa.array(texts, pa.large_string())):
+    for words in split_words(pa.array(texts, pa.large_string()), PART_BYTES):
         text, begin, length = windows_of(words)
         if len(text):
             owner = words.row + np.repeat(np.arange(len(words.first) - 1), words.counts())

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Bytes of text that are handled at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+# Bytes of text that are handled at once; a longer text makes a chunk of its own. Some arrays take eight bytes for each, several
+# at a time, in every worker process of an executor.
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

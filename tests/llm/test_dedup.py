@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -292,3 +293,18 @@ def test_text_bytes_of_sliced_and_null_columns():
             for i in range(len(w.first) - 1):
                 found.append([bytes(w.data[s:e]) for s, e in zip(w.start[w.first[i] : w.first[i + 1]], w.end[w.first[i] : w.first[i + 1]])])
         assert found == [[b"a", b"b"], [], [], [b"c", b"d"], [b"ab"]]
+
+
+def test_a_worker_holds_small_arrays_for_many_texts():
+    rng = random.Random(8)
+    texts = [prose(rng, 400) for _ in range(800)]
+    batch = pa.record_batch([pa.array(range(800)), pa.array(texts)], ["k1", "text"])
+    assert sum(map(len, texts)) > 3 << 19
+    for _ in repeated_passages._anchors(iter([batch])):
+        pass
+    tracemalloc.start()
+    for _ in repeated_passages._anchors(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
