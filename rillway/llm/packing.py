@@ -7,7 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import filterfalse
+from itertools import compress, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +44,16 @@ class Memory:
         """Those of the keys that are not remembered; all others are in ``known`` then, until the next call."""
         if self.size > self.most:
             self.known, self.older, self.size = {}, self.known, 0
-        absent = set(filterfalse(self.known.__contains__, keys))
-        again = {k: v for k in absent if (v := self.older.get(k)) is not None}
-        self.add(again.items())
-        return [k for k in absent if k not in again]
+        absent = list(set(filterfalse(self.known.__contains__, keys)))
+        values = list(map(self.older.get, absent))
+        again = [v is not None for v in values]
+        self.add(zip(compress(absent, again), compress(values, again)))
+        return [k for k, v in zip(absent, values) if v is None]
 
     def add(self, entries: Iterable[tuple[str, bytes]]) -> None:
-        for key, value in entries:
-            self.known[key] = value
-            self.size += len(key) + len(value) + ENTRY_BYTES
+        new = dict(entries)
+        self.known.update(new)
+        self.size += sum(map(len, new)) + sum(map(len, new.values())) + ENTRY_BYTES * len(new)
 
 
 # Up to here all Unicode versions class characters alike.
