@@ -1,11 +1,12 @@
 """Toxicity: a bidirectional gated recurrent network with attention over characters and words.
 
-It is trained in numpy; ONNX Runtime scores the windows at every word, or numpy where that is not installed.
+It is trained in numpy; windows at every word are scored in numpy too, or by ONNX Runtime where numpy has no registers of 512 bits.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,12 @@ PART_BYTES = 1 << 20
 # Texts that the network is trained on, the half of them for each label.
 FIT_TEXTS = 4000
 EPOCHS = 12
-# Windows that go through the network together: any ones, and such as begin at consecutive words.
+# Windows that go through the network together: any ones, and such as begin at consecutive words, whose arrays fit a core's cache.
 BATCH = 4096
-RUN = 1024
+RUN = 1696
 # ... where ONNX Runtime takes them, to which each of the graph's nodes is a call.
 GRAPH_RUN = 2048
+HALF = np.array(0.5, np.float32)
 
 
 @dataclass
@@ -106,19 +108,19 @@ def tokens(words: Words) -> Tokens:
     inner = (within > 0) & (within < size[own] - 1)
     ext = np.ones(len(line), np.uint64)
     ext[inner] = values[(s[own] + within - 1)[inner]]
-    grams, owners, rolled = [], [], np.zeros(len(ext), np.uint64)
+    number = [np.maximum(size - n + 1, 0) for n in CHAR_GRAMS]
+    bounds = np.concatenate([[0], np.cumsum(np.sum(number, axis=0))])
+    rows, free, rolled = np.empty(bounds[-1], np.int64), bounds[:-1].copy(), np.zeros(len(ext), np.uint64)
+    shift = np.uint64(64 - (CHAR_ROWS.bit_length() - 1))
     for n in range(1, max(CHAR_GRAMS) + 1):
         m = max(0, len(ext) - n + 1)
         rolled = rolled[:m] * np.uint64(0x9E3779B97F4A7C15) + ext[n - 1 : n - 1 + m]
         if n in CHAR_GRAMS:
-            whole = line[:m] + n <= place[1:][own[:m]]
-            grams.append(mix(rolled[whole] + np.uint64(n)))
-            owners.append(own[:m][whole])
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    shift = np.uint64(64 - (CHAR_ROWS.bit_length() - 1))
-    rows = (np.concatenate(grams)[order] >> shift).astype(np.int64)
-    return Tokens(distinct, rows, np.searchsorted(owner[order], np.arange(len(s) + 1)), of)
+            # A word's runs stand together, those of one size after the other.
+            whole = np.flatnonzero(within[:m] + n <= size[own[:m]])
+            rows[free[own[whole]] + within[whole]] = mix(rolled[whole] + np.uint64(n)) >> shift
+            free += number[CHAR_GRAMS.index(n)]
+    return Tokens(distinct, rows, bounds, of)
 
 
 def windows_of(words: Words, window: int = WINDOW, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +151,22 @@ def inputs(net: Network, t: Tokens) -> np.ndarray:
     return np.concatenate([p["word"][word_rows(net, t.key)], sums / np.sqrt(np.diff(t.char_bounds)[:, None].astype(np.float32))], axis=1)
 
 
+def many_inputs(net: Network, t: Tokens) -> np.ndarray:
+    """The same as ``inputs`` but for the order of sums, for many words: the next run of all words that have one is added at once."""
+    out = np.zeros((len(t.key), 2 * WIDTH), np.float32)
+    if not len(t.key):
+        return out
+    size, char = np.diff(t.char_bounds), net.p["char"]
+    order = np.argsort(-size, kind="stable")
+    at, size = t.char_bounds[:-1][order], size[order]
+    sums = np.zeros((len(size), WIDTH), np.float32)
+    for k, n in enumerate(np.searchsorted(-size, -np.arange(size[0]))):
+        sums[:n] += char[t.char_row[at[:n] + k]]
+    out[:, :WIDTH] = net.p["word"][word_rows(net, t.key)]
+    out[order, WIDTH:] = sums / np.sqrt(size[:, None].astype(np.float32))
+    return out
+
+
 def _run(u: np.ndarray, gates: np.ndarray, mask: np.ndarray, order: range, keep: list | None) -> np.ndarray:
     """Hidden states (time, batch, hidden) of one direction; gates (time, batch, 3 hidden) of the inputs."""
     steps, batch, _ = gates.shape
@@ -256,29 +274,25 @@ class Adam:
             w -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8)) + np.float32(self.rate * self.decay) * w
 
 
-def window_odds(net: Network, t: Tokens, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(begin), np.float32)
-    steps = np.arange(WINDOW)[:, None]
-    x = inputs(net, t)
-    gates = gates_of(net, x)
-    for low in range(0, len(begin), BATCH):
-        b, n = begin[low : low + BATCH], length[low : low + BATCH]
-        mask = steps < n
-        at = t.of[np.minimum(b + steps, len(t.of) - 1)]
-        out[low : low + BATCH] = forward(net, x, at, mask, gates=gates)
-    return out
+@cache
+def numpy_is_fast() -> bool:
+    """Whether numpy has registers of 512 bits: its hyperbolic tangents then took no longer than ONNX Runtime's, on an earlier machine nine times as long."""
+    return "AVX512_SKX" in np.show_config(mode="dicts")["SIMD Extensions"].get("found", [])
 
 
 def odds_at_every_word(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Log-odds of all windows of WINDOW words in the row of words ``of``, which point into the rows of ``x``.
 
-    The same as ``forward``: windows begin one after the other, so what step t reads of the inputs is a
-    slice of them. Without ONNX Runtime ``odds_in_numpy`` does the same.
+    The same as ``forward``: windows begin one after the other, so what a step reads of the inputs is a
+    slice of them, or all of them.
     """
-    run = session(WINDOW, HIDDEN, ATTENTION)
-    if run is None:
-        return odds_in_numpy(net, x, of)
-    p, inputs_give = net.p, gates_of(net, x)
+    run = None if numpy_is_fast() else session(WINDOW, HIDDEN, ATTENTION)
+    return odds_in_numpy(net, x, of) if run is None else odds_in_graph(run, net, gates_of(net, x), of)
+
+
+def odds_in_graph(run, net: Network, inputs_give: dict[str, np.ndarray], of: np.ndarray) -> np.ndarray:
+    """As ``odds_at_every_word``, by ONNX Runtime."""
+    p = net.p
     feed = {"query": p["query"][None]}
     for i, side in enumerate(("f", "b")):
         own, u = slice(i * HIDDEN, (i + 1) * HIDDEN), np.ascontiguousarray(p["u" + side].T)
@@ -296,46 +310,129 @@ def odds_at_every_word(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarra
     return out + p["bias"]
 
 
-def odds_in_numpy(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """As ``odds_at_every_word``. Arrays are (feature, window). A sigmoid is a tanh of half its argument, and those halves are
-    taken out of the loop; the product with a state also gives what attention and output need of it.
+def _aligned(*shape: int) -> np.ndarray:
+    """An array that begins at a multiple of 64 bytes, as wide registers are loaded best."""
+    n = int(np.prod(shape))
+    raw = np.empty(n + 16, np.float32)
+    first = -(raw.ctypes.data // 4) % 16
+    return raw[first : first + n].reshape(shape)
+
+
+def _weights(net: Network) -> list[tuple[range, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of both directions: the order of the steps, what a state gives to gates, attention and output, what an input gives to the
+    gates, and what they always get. A sigmoid is a tanh of half its argument, and those halves are taken into the weights.
     """
-    p, fold = net.p, np.repeat(np.float32([0.5, 1]), [2 * HIDDEN, HIDDEN])
-    n_windows = len(of) - WINDOW + 1
-    out = np.empty(max(n_windows, 0), np.float32)
-    sides, inputs_give = [], gates_of(net, x)
+    p, out, fold = net.p, [], np.repeat(np.float32([0.5, 1]), [2 * HIDDEN, HIDDEN])[:, None]
     for i, (side, order) in enumerate((("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1)))):
         own = slice(i * HIDDEN, (i + 1) * HIDDEN)
         by_state = np.concatenate([p["u" + side].T * np.float32(0.5), p["attend"][own].T, p["out"][None, own]])
-        sides.append((order, np.ascontiguousarray(by_state), inputs_give[side] * fold))
-    for low in range(0, n_windows, RUN):
-        size = min(RUN, n_windows - low)
-        h, other = np.empty((HIDDEN, size), np.float32), np.empty((HIDDEN, size), np.float32)
-        y = np.empty((3 * HIDDEN + ATTENTION + 1, size), np.float32)
-        zr, z, r, new, seen = y[: 2 * HIDDEN], y[:HIDDEN], y[HIDDEN : 2 * HIDDEN], y[2 * HIDDEN : 3 * HIDDEN], y[3 * HIDDEN :]
-        read = np.zeros((WINDOW, ATTENTION + 1, size), np.float32)
-        for order, by_state, table in sides:
-            gates = np.ascontiguousarray(table[of[low : low + size + WINDOW - 1]].T)
+        out.append((order, np.ascontiguousarray(by_state), np.ascontiguousarray(p["w" + side].T) * fold, p["c" + side][:, None] * fold))
+    return out
+
+
+def _give(by_input: np.ndarray, always: np.ndarray, words: np.ndarray, out: np.ndarray) -> None:
+    """What words (word, input) give to the gates (gate, word), in products as small as those of ``gates_of``."""
+    for low in range(0, len(words), 256):
+        np.matmul(by_input, words[low : low + 256].T, out=out[:, low : low + 256])
+    np.add(out, always, out=out)
+
+
+def _cell(y: np.ndarray, gates: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """One step; ``y`` has what the states before it give, and is written over."""
+    zr, z, r, new = y[: 2 * HIDDEN], y[:HIDDEN], y[HIDDEN : 2 * HIDDEN], y[2 * HIDDEN : 3 * HIDDEN]
+    np.add(zr, gates[: 2 * HIDDEN], out=zr)
+    np.tanh(zr, out=zr)
+    np.multiply(new, r, out=r)
+    np.add(new, r, out=new)
+    np.add(new, gates[2 * HIDDEN :], out=new)
+    np.tanh(new, out=new)
+    np.subtract(before, new, out=r)
+    np.multiply(r, HALF, out=r)
+    np.multiply(z, r, out=z)
+    np.add(r, z, out=r)
+    np.add(r, new, out=after)
+
+
+def full_window_odds(net: Network, x: np.ndarray, of: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Log-odds of the windows of WINDOW words that begin anywhere in the row of words ``of``. Arrays are (feature, window)."""
+    out = np.empty(len(begin), np.float32)
+    for low in range(0, len(begin), RUN):
+        b = begin[low : low + RUN]
+        y, g, h = (_aligned(n, len(b)) for n in (3 * HIDDEN + ATTENTION + 1, 3 * HIDDEN, HIDDEN))
+        read = np.zeros((WINDOW, ATTENTION + 1, len(b)), np.float32)
+        for order, by_state, by_input, always in _weights(net):
             h[:], y[:] = 0, 0
             for t in order:
-                g = gates[:, t : t + size]
-                np.add(zr, g[: 2 * HIDDEN], out=zr)
-                np.tanh(zr, out=zr)
-                np.multiply(new, r, out=other)
-                new += other
-                new += g[2 * HIDDEN :]
-                np.tanh(new, out=new)
-                h -= new
-                h *= np.float32(0.5)
-                np.multiply(z, h, out=other)
-                h += other
-                h += new
+                _give(by_input, always, x[of[b + t]], g)
+                _cell(y, g, h, h)
                 np.matmul(by_state, h, out=y)
-                read[t] += seen
-        e = np.einsum("a,tab->tb", p["query"], np.tanh(read[:, :ATTENTION]))
+                read[t] += y[3 * HIDDEN :]
+        e = np.einsum("a,tab->tb", net.p["query"], np.tanh(read[:, :ATTENTION]))
         e = np.exp(e - e.max(axis=0))
-        out[low : low + size] = (e * read[:, ATTENTION]).sum(axis=0) / e.sum(axis=0)
-    return out + p["bias"]
+        out[low : low + RUN] = (e * read[:, ATTENTION]).sum(axis=0) / e.sum(axis=0)
+    return out + net.p["bias"]
+
+
+def odds_in_numpy(net: Network, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """As ``odds_at_every_word``. Arrays are (feature, column), and a column is a place of the text, not a window: in each step
+    the states move on to the next word, so that all steps read the same gates, as they lie in memory.
+
+    States that move are the same array read from one element earlier or later. What comes into a row's end that way
+    belongs to windows that begin outside, which are not read.
+    """
+    n_windows = len(of) - WINDOW + 1
+    out = np.empty(max(n_windows, 0), np.float32)
+    if n_windows <= 0:
+        return out
+    each = -(-n_windows // -(-n_windows // RUN))
+    # A word's states come out one column from its own: after it, or before it where words are read from the end.
+    columns = -(-(each + WINDOW + 1) // 16) * 16
+    cells = HIDDEN * columns
+    y, g, states = _aligned(3 * HIDDEN + ATTENTION + 1, columns), _aligned(3 * HIDDEN, columns), _aligned(cells + 32)
+    seen, attend = y[3 * HIDDEN :], y[3 * HIDDEN : 3 * HIDDEN + ATTENTION]
+    h = states[16 : 16 + cells].reshape(HIDDEN, columns)
+    first_read = _aligned(WINDOW, ATTENTION + 1, columns)
+    weights, reads = _aligned(WINDOW, columns), _aligned(WINDOW, columns)
+    at, sides = np.zeros(columns, np.int64), _weights(net)
+    for low in range(0, n_windows, each):
+        size = min(each, n_windows - low)
+        for i, (order, by_state, by_input, always) in enumerate(sides):
+            at[:] = 0
+            at[2 * i : 2 * i + size + WINDOW - 1] = of[low : low + size + WINDOW - 1]
+            _give(by_input, always, x[at], g)
+            moved = states[15 + 2 * i : 15 + 2 * i + cells].reshape(HIDDEN, columns)
+            states[:], y[:] = 0, 0
+            for t in order:
+                _cell(y, g, moved, h)
+                np.matmul(by_state, moved, out=y)
+                if i == 0:
+                    first_read[t] = seen
+                else:
+                    np.add(seen, first_read[t], out=seen)
+                    np.tanh(attend, out=attend)
+                    np.matmul(net.p["query"], attend, out=weights[t])
+                    reads[t] = seen[ATTENTION]
+        # Step t of a window is t columns on from where the window begins.
+        e, read = (np.lib.stride_tricks.as_strided(a[:, 1:], (WINDOW, size), (a.strides[0] + 4, 4)) for a in (weights, reads))
+        e = np.exp(e - e.max(axis=0))
+        out[low : low + size] = (e * read).sum(axis=0) / e.sum(axis=0)
+    return out + net.p["bias"]
+
+
+def window_odds(net: Network, t: Tokens, begin: np.ndarray, length: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+    """Log-odds of any windows; those of WINDOW words take the faster way."""
+    out = np.zeros(len(begin), np.float32)
+    x = many_inputs(net, t) if x is None else x
+    full = length == WINDOW
+    out[full] = full_window_odds(net, x, t.of, begin[full])
+    short = np.flatnonzero(~full)
+    if len(short):
+        steps, gates = np.arange(WINDOW)[:, None], gates_of(net, x)
+        for low in range(0, len(short), BATCH):
+            some = short[low : low + BATCH]
+            at = t.of[np.minimum(begin[some] + steps, len(t.of) - 1)]
+            out[some] = forward(net, x, at, steps < length[some], gates=gates)
+    return out
 
 
 def text_odds(net: Network, texts: pa.Array, empty: float) -> np.ndarray:
@@ -343,14 +440,15 @@ def text_odds(net: Network, texts: pa.Array, empty: float) -> np.ndarray:
     out = np.full(len(texts), empty, np.float32)
     for words in split_words(texts):
         t, counts = tokens(words), words.counts()
+        x = many_inputs(net, t)
         top = np.full(len(counts), empty, np.float32)
         short = np.flatnonzero((counts > 0) & (counts < WINDOW))
-        top[short] = window_odds(net, t, words.first[short], counts[short])
+        top[short] = window_odds(net, t, words.first[short], counts[short], x)
         full = np.flatnonzero(counts >= WINDOW)
         if len(full):
             # The texts with a full window one after the other; windows across two texts count for none.
             long = np.repeat(counts >= WINDOW, counts)
-            odds = odds_at_every_word(net, inputs(net, t), t.of[long])
+            odds = odds_at_every_word(net, x, t.of[long])
             last = np.cumsum(counts[full])
             bounds = np.stack([last - counts[full], last - WINDOW + 1], axis=1).ravel()
             top[full] = np.maximum.reduceat(np.append(odds, np.float32(-np.inf)), bounds)[::2]
